@@ -91,27 +91,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a block of texts.
-
-    ``data``: the texts' UTF-8 bytes, each followed by one splitting byte; ``ends``: the position after each text's
-    splitting byte.  Returns the hashes and, per text, the number of words before its end (a running count).
-    """
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    low = LOWER[data]
-    word = ~splits[low]
+def _segment_hashes(low: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of lower-cased bytes that end with a splitting byte."""
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if word[0]:
         edge = np.concatenate([[0], edge])
     start, stop = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, dtype=np.uint64)
+    power, inverse = _powers(len(low) + 1)
+    total = np.empty(len(low) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[low] * power[: len(data)], out=total[1:])
+    np.cumsum(_BYTE[low] * power[: len(low)], out=total[1:])
     h = (total[stop] - total[start]) * inverse[start]
-    h = mix64(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(start, ends, side="left")
+    return mix64(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, splits: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a block of texts.
+
+    ``data``: the texts' UTF-8 bytes, each followed by one splitting byte; ``ends``: the position after each text's
+    splitting byte.  Returns the hashes and, per text, the number of words before its end (a running count).  Works
+    through segments cut between words, so that a very long text needs little more than its hashes.
+    """
+    low = LOWER[data]
+    word = ~splits[low]
+    hashes, starts, at = [], [], 0
+    while at < len(low):
+        to = min(at + segment, len(low))
+        if to < len(low):
+            gaps = np.flatnonzero(~word[at:to])
+            if len(gaps):
+                to = at + int(gaps[-1]) + 1
+            else:  # one word longer than a segment
+                to = to + int(np.argmin(word[to:])) + 1
+        h, s = _segment_hashes(low[at:to], word[at:to])
+        hashes.append(h)
+        starts.append(s + at)
+        at = to
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), ends, side="left")
 
 
 def block_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import decontaminate, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verbatim overlap of all documents with the benchmark."""
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
 ORACLES: dict[str, str] = {}
