@@ -33,8 +33,6 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 SIGMAS = 5.0
 #: Members and outsiders of a bucket that one block compares.
 BLOCK, CHUNK = 1024, 256
-#: Partners of an outsider that are verified before the others.
-FIRST = 3
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -337,11 +335,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = components(edges)
 
     rest = C.settle(_rest(multi, comp, reps, level, ratio), "rest")
-    best = rest.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "b")), asc=False), 1, FIRST).alias("top")) if False else rest
-    more = C.settle(_linked(best.select("a", "b"), texts, shingle, percent), "links")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
-        comp = components(edges)
+    best = rest.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    for take in (best, rest):  # first each outsider's likeliest partner, then whatever is still between components
+        ca, cb = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        still = take.join(ca, "a", "left").join(cb, "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
+        more = C.settle(_linked(C.settle(still, "pairs"), texts, shingle, percent), "links")
+        if not more.isEmpty():
+            edges = C.settle(edges.unionByName(more), "links")
+            comp = components(edges)
 
     named = reps.select("node", "f1", "f2", "low").join(comp, "node", "left")
     smallest = named.where("comp is not null").groupBy("comp").agg(F.min("low").alias("first"))

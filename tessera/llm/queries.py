@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing
+from tessera.llm import decontaminate, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over 2-word shingles."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
 ORACLES: dict[str, str] = {}
