@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, neardup, packing, pii, quality
+from tessera.llm import decontaminate, langid, neardup, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_pii": op8_pii, "op3_quality_rules": op3_quality_rules, "op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op8_pii": op8_pii, "op3_quality_rules": op3_quality_rules, "op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
 ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
