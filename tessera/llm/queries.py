@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, langid, neardup, packing, pii, quality
+from tessera.llm import decontaminate, html, langid, license, neardup, packing, pii, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op8_pii": op8_pii, "op3_quality_rules": op3_quality_rules, "op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable bundles and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents by canonical digest."""
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op4_warc": op4_warc, "op5_url_filters": op5_url_filters, "op7_license_scan": op7_license_scan, "op9_html_extraction": op9_html_extraction, "op6_language_id": op6_language_id, "op8_pii": op8_pii, "op3_quality_rules": op3_quality_rules, "op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE}
