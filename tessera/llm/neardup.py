@@ -9,9 +9,8 @@ known set sizes, then their full sets are compared.
 Components need no pair twice and no pair inside one component, which keeps a large bucket linear:
 
 1. Star: each bucket's members are compared with its smallest member only; links give components.
-2. Rest: buckets that still hold several components compare members outside the bucket's main component with the
-   others, in blocks of bounded size, by registers; only pairs that pass the test leave the block.  The most promising
-   partners of each outsider are verified first; what is still open after that is verified in full.
+2. Rest: buckets that still hold several components compare the full sets of members outside the bucket's main
+   component with all others, in cells of bounded size; a cell returns at most one link between two components.
 
 All pairs that share a bucket are thus linked, known to be unlinked, or in one component already.  A pair at the
 threshold shares no bucket with probability ``(1 - 0.8**ROWS)**BANDS`` (1e-7 here).
@@ -32,7 +31,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: The likelihood test lets pass what is estimated above threshold minus this many standard deviations.
 SIGMAS = 5.0
 #: Members and outsiders of a bucket that one block compares.
-BLOCK, CHUNK = 1024, 256
+BLOCK, CHUNK = 512, 512
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -124,10 +123,8 @@ def _sketch(size: int):
                         f1.append(None)
                         f2.append(None)
                         sk.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sk, pa.binary())],
-                names=["doc_id", "text", "n", "f1", "f2", "sketch"],
-            )
+            cols = [*batch.columns, pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sk, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "n", "f1", "f2", "sketch"])
 
     return run
 
@@ -228,125 +225,168 @@ def components(edges: DataFrame) -> DataFrame:
 # --- what the stars leave -----------------------------------------------------------------------------------
 
 
-def _cross(level: float, ratio: float):
-    """mapInArrow over (bucket, blk, chunk, outside, node, comp, lead, n, sketch), sorted by the first four.
+class _Union:
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-    Compares each outsider of a block with its members of other components, and returns (a, b, score) of likely pairs,
-    score being the share of equal registers.
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def _cross(size: int, percent: int):
+    """mapInArrow over (bucket, blk, chunk, outside, node, comp, text), sorted by the first four: links (a, b).
+
+    A cell holds some of a bucket's outsiders and some of its members.  Each outsider's full set is compared with those
+    of all the cell's members at once, over shingles numbered within the cell; of several links between two components
+    one is returned, so a cell gives fewer links than it has components.
     """
 
-    def block(cols, lo, hi, out):
-        outside = cols[3][lo:hi]
-        at_o, at_m = np.flatnonzero(outside) + lo, np.flatnonzero(~outside) + lo
-        if not len(at_o) or not len(at_m):
-            return
-        node, comp, lead, n, regs = cols[4:]
-        for o in at_o.tolist():
-            if node[o] == lead[o]:
-                continue
-            ok = (comp[at_m] != comp[o]) & (node[at_m] != lead[o]) & (np.minimum(n[at_m], n[o]) >= ratio * np.maximum(n[at_m], n[o]))
-            m = at_m[ok]
-            if not len(m):
-                continue
-            mine = np.broadcast_to(regs[o], (len(m), M))
-            m = m[likely(mine, regs[m], np.full(len(m), n[o]), n[m], level)]
-            if len(m):
-                out.append((np.full(len(m), node[o]), node[m], (regs[m] == regs[o]).mean(axis=1)))
+    def cell(outside, node, comp, texts, out):
+        place: dict[int, int] = {}
+        for i, x in enumerate(node):
+            place.setdefault(x, i)
+        first = sorted(place.values())
+        sets: list[np.ndarray] = []
+        for a, b in C.text_blocks([texts[i] for i in first], 1 << 20):
+            sets += shingle_sets([texts[i] for i in first[a:b]], size)
+        of = {node[i]: s for i, s in zip(first, sets, strict=True)}
+        members = [i for i in range(len(node)) if not outside[i]]
+        rows = [of[node[i]] for i in members]
+        lengths = np.array([len(r) for r in rows], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        known, ids = np.unique(np.concatenate(rows), return_inverse=True)
+        mark = np.zeros(len(known), dtype=bool)
+        comps = np.array([comp[i] for i in members])
+        joined = _Union()
+        for o in (i for i in range(len(node)) if outside[i]):
+            s = of[node[o]]
+            at = np.searchsorted(known, s)
+            at[at == len(known)] = 0
+            at = at[known[at] == s]
+            mark[at] = True
+            both = np.add.reduceat(mark[ids].astype(np.int64), starts)
+            mark[at] = False
+            ok = np.flatnonzero((100 * both >= percent * (lengths + len(s) - both)) & (comps != comp[o]))
+            for m in ok[np.unique(comps[ok], return_index=True)[1]].tolist():
+                if joined.find(comp[o]) != joined.find(int(comps[m])):
+                    joined.join(comp[o], int(comps[m]))
+                    out.append((node[o], node[members[m]]))
 
     def run(batches):
-        held = None
+        key, held = None, []
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            held = None
-            if not t.num_rows:
-                continue
-            keys = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if not len(cut):
-                held = t
-                continue
-            held = t.slice(int(cut[-1]))
-            yield work(t.slice(0, int(cut[-1])), np.concatenate([[0], cut]))
-        if held is not None:
-            yield work(held, np.array([0, held.num_rows]))
-
-    def work(t, cuts):
-        t = t.combine_chunks()
-        cols = [t.column(i).to_numpy() for i in range(3)] + [t.column(3).to_numpy().astype(bool)] + [t.column(i).to_numpy() for i in range(4, 7)] + [t.column(7).to_numpy().astype(float), _matrix(t.column(8))]
-        out: list = []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            block(cols, lo, hi, out)
-        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "score"])
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            texts = batch.column(6).cast(pa.binary()).to_pylist()
+            for row in zip(*cols, texts, strict=True):
+                if row[:3] != key:
+                    flush(held, out)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            if out:
+                yield emit(out)
+        flush(held, out)
+        yield emit(out)
+
+    def flush(held, out):
+        if held and held[0][0] != held[-1][0]:  # there are members, which come first, and outsiders
+            outside, node, comp, texts = zip(*held, strict=True)
+            cell(outside, node, comp, texts, out)
+
+    def emit(out):
+        a, b = [x[0] for x in out], [x[1] for x in out]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _rest(multi: DataFrame, comp: DataFrame, reps: DataFrame, level: float, ratio: float) -> DataFrame:
-    """Likely pairs (a, b, score) across components that share a bucket and were not compared in a star; a is an outsider."""
+def _rest(multi: DataFrame, comp: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket."""
     parts = int(multi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = multi.where("cnt >= 3").join(comp, "node", "left").select("bucket", "node", "lead", "cnt", F.coalesce("comp", "node").alias("comp"))
+    m = multi.where("cnt >= 3").join(comp, "node", "left").select("bucket", "node", "cnt", F.coalesce("comp", "node").alias("comp"))
     shares = m.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.k").alias("inside"))
-    m = m.join(main, "bucket").join(reps.select("node", "n", "sketch"), "node")
+    m = m.join(main, "bucket")
     m = m.withColumn("blocks", F.ceil(F.col("cnt") / BLOCK)).withColumn("chunks", F.ceil((F.col("cnt") - F.col("inside")) / CHUNK))
     h = F.xxhash64("node", "bucket")
-    tail = ["node", "comp", "lead", "n", "sketch"]
-    members = m.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("bucket", F.pmod(h, F.col("blocks")).alias("blk"), "chunk", F.lit(False).alias("outside"), *tail)
-    out = m.where("comp != main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "blk", F.pmod(h, F.col("chunks")).alias("chunk"), F.lit(True).alias("outside"), *tail)
-    cells = members.unionByName(out).repartition(parts, "bucket", "blk", "chunk").sortWithinPartitions("bucket", "blk", "chunk", "outside")
-    found = cells.mapInArrow(_cross(level, ratio), "a long, b long, score double")
-    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
+    members = m.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("bucket", F.pmod(h, F.col("blocks")).alias("blk"), "chunk", F.lit(False).alias("outside"), "node", "comp")
+    out = m.where("comp != main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "blk", F.pmod(h, F.col("chunks")).alias("chunk"), F.lit(True).alias("outside"), "node", "comp")
+    cells = members.unionByName(out).join(texts, "node").select("bucket", "blk", "chunk", "outside", "node", "comp", "text")
+    cells = cells.repartition(parts, "bucket", "blk", "chunk").sortWithinPartitions("bucket", "blk", "chunk", "outside")
+    return cells.mapInArrow(_cross(size, percent), "a long, b long").distinct()
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Links documents whose shingle sets have ``100 * intersection >= percent * union``; component_id is the smallest
-    doc_id reachable.  Null and empty texts have an empty set, are linked with nothing and stand for themselves.  Rows
-    with a null doc_id take part; a component with null ids only has a null component_id, and its rows are kept.
-    Repeated rows are copies of each other: the same component_id, kept alike.  Very long texts are hashed in segments.
-    An empty table gives no rows.  Extra columns are ignored.
+def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with set size, fingerprint and row number, ``extra`` columns as x0 and so on; and, per class of
+    equal sets, its fingerprint, its component's smallest doc_id and the row that stands for the component.
     """
+    C.ship(docs.sparkSession)
     level, ratio = test_level(percent / 100), percent / 100
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    base = narrow.mapInArrow(_sketch(shingle), "doc_id long, text string, n long, f1 long, f2 long, sketch binary")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
+    base = narrow.mapInArrow(_sketch(shingle), f"{kinds}, n long, f1 long, f2 long, sketch binary")
     base = C.settle(base.withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    texts = base.select(F.col("rid").alias("node"), "text")
-    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = C.settle(reps, "classes")
+    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min_by("rid", "doc_id").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = C.settle(reps.withColumn("row", F.coalesce("row", "node")), "classes")
 
     bands = reps.select("node", "sketch").mapInArrow(_bands, "bucket long, node long")
     lead = bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1")
     multi = C.settle(bands.join(lead, "bucket"), "buckets")
+    # the only texts that are looked at again: those that share a bucket with another
+    texts = C.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
 
-    def with_registers(pairs: DataFrame) -> DataFrame:
-        r = reps.select("node", "n", "sketch")
-        left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
-        right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "na", "ra", "b", "nb", "rb")
-
+    r = reps.select("node", "n", "sketch")
+    left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
+    right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
     star = multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = C.settle(with_registers(star).mapInArrow(_passing(level, ratio), "a long, b long"), "stars")
-    edges = C.settle(_linked(star, texts, shingle, percent), "links")
+    star = star.join(left, "a").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
+    edges = C.settle(_linked(C.settle(star, "stars"), texts, shingle, percent), "links")
     comp = components(edges)
+    more = C.settle(_rest(multi, comp, texts, shingle, percent), "links")
+    if not more.isEmpty():
+        comp = components(edges.unionByName(more))
+
+    named = reps.select("node", "f1", "f2", "low", "row").join(comp, "node", "left")
+    smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("first"), F.min_by("row", "low").alias("stay"), F.min("row").alias("any"))
+    classes = named.join(smallest, "comp", "left").select(
+        "f1", "f2", F.when(F.col("comp").isNull(), F.col("low")).otherwise(F.col("first")).alias("component"),
+        F.when(F.col("comp").isNull(), F.col("row")).otherwise(F.coalesce("stay", "any")).alias("stay"),
+    )
+    return base, classes
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
 
-    rest = C.settle(_rest(multi, comp, reps, level, ratio), "rest")
-    best = rest.groupBy("a").agg(F.max(F.struct("score", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    for take in (best, rest):  # first each outsider's likeliest partner, then whatever is still between components
-        ca, cb = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        still = take.join(ca, "a", "left").join(cb, "b", "left").where(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
-        more = C.settle(_linked(C.settle(still, "pairs"), texts, shingle, percent), "links")
-        if not more.isEmpty():
-            edges = C.settle(edges.unionByName(more), "links")
-            comp = components(edges)
-
-    named = reps.select("node", "f1", "f2", "low").join(comp, "node", "left")
-    smallest = named.where("comp is not null").groupBy("comp").agg(F.min("low").alias("first"))
-    classes = named.join(smallest, "comp", "left").select("f1", "f2", F.coalesce("first", "low").alias("component"))
+    Links documents whose shingle sets have ``100 * intersection >= percent * union``; component_id is the smallest
+    doc_id reachable.  Null and empty texts have an empty set, are linked with nothing and stand for themselves.  Rows
+    with a null doc_id take part; a component with null ids only has a null component_id, and its rows are kept.
+    Repeated rows are copies of each other: the same component_id, kept alike.  Very long texts are hashed in segments.
+    An empty table gives no rows.  Extra columns are ignored.
+    """
+    base, classes = _classes(docs, id_col, text_col, [], shingle, percent)
     out = base.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     cid = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), cid.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, one row of each component (that with the smallest doc_id); texts without words all stay.
+
+    Of repeated rows one stays.  Columns are those of ``docs``.
+    """
+    extra = [c for c in docs.columns if c != text_col]
+    base, classes = _classes(docs, id_col, text_col, extra, shingle, percent)
+    stay = classes.select(F.col("stay").alias("rid")).distinct()
+    kept = base.where("n > 0").join(stay, "rid", "left_semi").unionByName(base.where("n = 0"))
+    names = {c: F.col(f"x{i}").alias(c) for i, c in enumerate(extra)} | {text_col: F.col("text").alias(text_col)}
+    return kept.select(*[names[c] for c in docs.columns])
