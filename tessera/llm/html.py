@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]{0,4000}+\"|'[^'<]{0,4000}+')*+>|<[a-zA-Z/!?][^<>]*+>?", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -195,5 +197,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     Null and empty pages, and pages without content, have empty text.  Ids and urls may be null or repeat and are
     passed on.  A very long page is one linear scan.  An empty table gives no rows; extra columns are ignored.
     """
+    C.ship(pages.sparkSession)
     narrow = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     return narrow.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -207,6 +207,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     with a null id is a response unless a row with an id has its payload.  An empty table gives no bundles.
     """
     spark = pages.sparkSession
+    C.ship(spark)
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("record_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     sha = F.sha1("payload")
     p = p.withColumn("hex", sha)
@@ -222,6 +223,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
 
 def read(index: DataFrame) -> DataFrame:
     """All records of the bundles that an index names, frame by frame."""
+    C.ship(index.sparkSession)
     frames = index.select("bundle", "frame", "frame_start", "frame_bytes").distinct()
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, block_digest string, bundle string, frame long, at long"
     return frames.mapInArrow(_read, kinds)
