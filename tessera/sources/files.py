@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def open_table(spark: SparkSession, path: str, fmt: str = "orc") -> DataFrame:
     """Read a table; a file of another format is an error of our own."""
     try:
         return spark.read.format(fmt).load(path)
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise NotReadableError(f"{path} is not {fmt}") from e
 
 
