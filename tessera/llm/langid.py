@@ -227,7 +227,7 @@ def _predict(shared, n_extra: int):
                     values[len(index) : len(index) + len(new)] = model.scores(new)
                     index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
                 for ws in words:
-                    if not ws or not k:
+                    if not k or not any(c.isalpha() for w in ws for c in w):
                         pred.append(UNDETERMINED)
                         score.append(0.0)
                         continue
