@@ -47,6 +47,12 @@ def map_remove(c: Column, key: Column) -> Column:
     return F.map_filter(c, lambda k, _: k != key)
 
 
+def entries_get(c: Column, key: Column) -> Column:
+    """Value of a key in array<struct<key, value>>, which stands for a map that may have a NULL key; the last entry wins."""
+    found = F.filter(c, lambda e: e["key"].eqNullSafe(key))
+    return F.get(found, F.size(found) - 1)["value"]
+
+
 def union_value(tag: Column, *children: Column) -> Column:
     """A tagged union as struct<tag, f0, f1, ...>; only the chosen child is set."""
     return F.struct(tag.cast("tinyint").alias("tag"), *[F.when(tag == i, c).alias(f"f{i}") for i, c in enumerate(children)])

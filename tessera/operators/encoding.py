@@ -169,3 +169,70 @@ def byte_values(code: bytes) -> list[int]:
             out += code[i + 1 : i + 1 + 256 - n]
             i += 1 + 256 - n
     return out
+
+
+def _varint(u: int) -> bytes:
+    out = bytearray()
+    while u > 127:
+        out.append(u & 127 | 128)
+        u >>= 7
+    return bytes([*out, u])
+
+
+def integer_runs(values: list[int], signed: bool = True) -> bytes:
+    """Integer run-length code: (length - 3, difference, first value) for 3 to 130 values of one difference from -128 to
+    127, and (-length, values...) for up to 128 others; values are variable-length, zigzag where signed.
+    """
+    number = (lambda v: _varint(2 * v if v >= 0 else -2 * v - 1)) if signed else _varint
+    out, i, pending = bytearray(), 0, []
+
+    def flush():
+        for k in range(0, len(pending), 128):
+            some = pending[k : k + 128]
+            out.append((-len(some)) & 0xFF)
+            for v in some:
+                out.extend(number(v))
+        pending.clear()
+
+    while i < len(values):
+        j = i + 1
+        d = values[j] - values[i] if j < len(values) else 0
+        while -128 <= d <= 127 and j < len(values) and values[j] - values[j - 1] == d and j - i < LONGEST_RUN:
+            j += 1
+        if j - i >= SHORTEST_RUN:
+            flush()
+            out += bytes([j - i - SHORTEST_RUN, d & 0xFF]) + number(values[i])
+            i = j
+        else:
+            pending.append(values[i])
+            i += 1
+    flush()
+    return bytes(out)
+
+
+def integer_values(code: bytes, signed: bool = True) -> list[int]:
+    """The values of an integer run-length code."""
+    out, i = [], 0
+
+    def number() -> int:
+        nonlocal i
+        u = shift = 0
+        while True:
+            b = code[i]
+            i += 1
+            u |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return (u >> 1) ^ -(u & 1) if signed else u
+
+    while i < len(code):
+        n = code[i]
+        i += 1
+        if n < 128:
+            d = code[i] - 256 if code[i] > 127 else code[i]
+            i += 1
+            v = number()
+            out += [v + k * d for k in range(n + SHORTEST_RUN)]
+        else:
+            out += [number() for _ in range(256 - n)]
+    return out

@@ -110,8 +110,8 @@ def row_number(spark, d):
 def progress(spark, d):
     """Share of the rows read, after each row."""
     e = laid(spark, d, "events")
-    n = e.agg(F.count("*").alias("n"))
-    return e.crossJoin(F.broadcast(n)).select("event_id", F.expr("(pos + 1) * 1000 div n").alias("per_mille"))  # one row
+    n = table(spark, d, "events").agg(F.count("*").alias("n")).scalar()
+    return e.select("event_id", F.floor((F.col("pos") + 1) * 1000 / n).alias("per_mille"))
 
 
 @query("SELECT CAST(100 * quality AS BIGINT) AS cents, doc_id FROM labels WHERE quality IS NOT NULL")
@@ -550,7 +550,7 @@ def merge_files(spark, d):
     """Two files' rows concatenated, statistics merged from the parts'."""
     o = laid(spark, d, "orders")
     parts = [files.round_trip(o.where(F.col("stripe") % 2 == k), "parquet") for k in (0, 1)]
-    return files.merge(*parts, files=1).groupBy("stripe").agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("total"))
+    return files.merge(*parts).groupBy("stripe").agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("total"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE false")

@@ -1 +1 @@
-
+"""Nothing here: the capabilities this library covers have no streams; Spark's own work on its frames as they are."""

@@ -69,6 +69,25 @@ def test_byte_runs_round_trip(seed):
     assert E.byte_runs([5] * 130) == bytes([127, 5]) and E.byte_runs([1, 2]) == bytes([254, 1, 2]) and E.byte_runs([]) == b""
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_integer_runs_round_trip(seed):
+    r = random.Random(seed)
+    values, at = [], 0
+    for _ in range(200):
+        step = r.choice([0, 1, -128, 127, 128, r.randrange(-(2**62), 2**62)])
+        for _ in range(r.choice([1, 2, 5, 140])):
+            at = max(-(2**63), min(2**63 - 1, at + step))
+            values.append(at)
+    assert E.integer_values(E.integer_runs(values)) == values
+    assert E.integer_runs([7] * 100, signed=False) == bytes([97, 0, 7]) and E.integer_runs([1, 2, 3], signed=False) == bytes([0, 1, 1])
+    assert E.integer_values(E.integer_runs([2, 3, 6, 7, 11], signed=False), signed=False) == [2, 3, 6, 7, 11]
+
+
+def test_entries_with_a_null_key(spark):
+    df = spark.sql("SELECT array(struct(CAST(NULL AS STRING) AS key, 1 AS value), struct('a' AS key, 2 AS value), struct('a' AS key, 3 AS value)) AS m")
+    assert tuple(df.select(nested.entries_get(F.col("m"), F.lit(None).cast("string")), nested.entries_get(F.col("m"), F.lit("a")), nested.entries_get(F.col("m"), F.lit("z"))).first()) == (1, 3, None)
+
+
 def test_zigzag_edges(spark):
     v = [0, -1, 1, -2, 2**63 - 1, -(2**63)]
     df = spark.createDataFrame([(x,) for x in v], "v long").withColumn("z", bits.zigzag(F.col("v")))
