@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, html, langid, license, neardup, packing, pii, quality, urlfilter, warc
+from tessera.llm import decontaminate, html, langid, license, neardup, oracles, packing, pii, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbatim overlap of all documents with the benchmark."""
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc": op4_warc, "op5_url_filters": op5_url_filters, "op7_license_scan": op7_license_scan, "op9_html_extraction": op9_html_extraction, "op6_language_id": op6_language_id, "op8_pii": op8_pii, "op3_quality_rules": op3_quality_rules, "op2_near_dedup": op2_near_dedup, "op10_decontamination": op10_decontamination, "op1_packing": op1_packing}
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE, "op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = oracles.ORACLES
