@@ -27,9 +27,12 @@ def conform(df: DataFrame, table: T.StructType) -> DataFrame:
 
 
 def split(laid: DataFrame, first: int, length: int, stripe_rows: int) -> DataFrame:
-    """Rows of stripes whose first row lies in [first, first + length)."""
-    start = F.col("stripe") * stripe_rows
-    return laid.where((start >= first) & (start < first + length))
+    """Rows of stripes whose first row lies in [first, first + length).
+
+    As bounds on the position, so that a table whose key is its position gets them as pushed filters.
+    """
+    low, high = (-(-x // stripe_rows) * stripe_rows for x in (first, first + length))
+    return laid.where((F.col("pos") >= low) & (F.col("pos") < high))
 
 
 def seek(laid: DataFrame, row: int) -> DataFrame:

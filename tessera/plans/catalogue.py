@@ -85,7 +85,7 @@ def split_scan(spark, d):
 @query("SELECT event_id // 4096 AS stripe, event_id, user_id, event_type FROM events WHERE event_id // 4096 = 1")
 def stripe_copy(spark, d):
     """One stripe, whole."""
-    return laid(spark, d, "events").where("stripe = 1").select("stripe", "event_id", "user_id", "event_type")
+    return S.split(laid(spark, d, "events"), 4096, 1, 4096).select("stripe", "event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id >= 777")
