@@ -87,10 +87,9 @@ def pieces(page: str):
 def _part(name: str, tag: str, outer: str) -> str:
     """The word for a container; plain wrappers take their surroundings' word."""
     weights = vocabulary()
-    for m in MARK.finditer(tag):
-        for word in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()):
-            if word in weights:
-                return word
+    marks = [] if name == "body" else [w for m in MARK.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w in weights]
+    if marks:
+        return min(marks, key=weights.__getitem__)  # a telling word against the part counts more
     if outer in weights and outer != "body" and weights[outer] < 0:
         return outer  # inside a left-out part all is left out
     return name if name not in ("div", "section", "ul", "ol", "table", "figure", "blockquote", "body") else outer
@@ -107,7 +106,7 @@ def vocabulary() -> dict[str, int]:
     return {**dict.fromkeys(_GOOD, 1), **dict.fromkeys(_BAD, -1), **dict.fromkeys(("nav", "header", "footer", "aside", "form", "head", "menu", "dialog"), -1), "article": 1, "main": 1}
 
 
-def labelled_pages(n: int = 60, seed: int = 5) -> list[tuple[list[tuple[str, str, int]], None]]:
+def labelled_pages(n: int = 60, seed: int = 5) -> list[list[tuple[str, str, int]]]:
     """Generated pages as token lists (kind, word or tag, in content) in the layouts of common page templates."""
     r = random.Random(seed)
     out = []
