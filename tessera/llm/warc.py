@@ -4,8 +4,8 @@ A bundle is one file: independent Zstandard frames, each of a group of whole WAR
 seek table (the skippable frame that the seekable format defines: compressed and uncompressed size of every frame).
 The index maps each record to its bundle, frame and offset within the frame's content, so one record costs one frame.
 
-Executors write bundles straight to a shared folder and rename them into place, so a task that runs again replaces its
-own bundle by an equal one.
+Executors write bundles straight to a shared folder and rename them into place.  Their names carry the attempt of the
+task, and the index, which Spark commits, only names those of attempts that succeeded; others are left over.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
         task = TaskContext.get()
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        tag, number, bundle, rows = f"{task.partitionId():06d}", 0, None, []
+        tag, number, bundle, rows = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, []
         names = [f.split()[0] for f in INDEX.split(", ")]
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]
 
@@ -156,7 +156,8 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
             return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for i, url, payload, ref in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            for i, url, payload, ref in zip(*[batch.column(k) for k in range(4)], strict=True):
+                i, url, payload, ref = i.as_py(), url.as_py(), payload.as_py(), ref.as_py()
                 if bundle is None:
                     path = f"{root}/.part-{tag}-{number:04d}-{uuid.uuid4().hex}"
                     bundle = Bundle(fs.open_output_stream(path, compression=None), frame_bytes)
@@ -176,15 +177,16 @@ def _read(batches):
     import zstandard
 
     opened: tuple = ("", None)
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "block_digest", "bundle", "frame", "at"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    codec = zstandard.ZstdDecompressor()
     for batch in batches:
-        out = []
         for uri, frame, start, size in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
             if opened[0] != uri:
                 fs, path = filesystem(uri)
                 opened = (uri, fs.open_input_file(path))
             opened[1].seek(start)
-            raw = zstandard.ZstdDecompressor().decompress(opened[1].read(size))
-            at = 0
+            raw, at, out = codec.decompress(opened[1].read(size)), 0, []
             while at < len(raw):
                 head = raw.index(b"\r\n\r\n", at) + 4
                 length = int(raw[at:head].rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
@@ -193,10 +195,7 @@ def _read(batches):
                 ident = fields["WARC-Record-ID"][10:-1]
                 out.append((None if ident == "None" else int(ident), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(ref[10:-1]) if ref else None, block, digest(block) if ref is None else None, uri, frame, at))
                 at = head + length + 4
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "block_digest", "bundle", "frame", "at"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)  # a frame at a time
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
