@@ -17,9 +17,10 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language is recognised; an unknown ``lang`` is filled in."""
-    got = langid.classify(docs, langid.train(docs))
-    got = got.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return got.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    names = ("_predicted_lang_", "_predicted_score_")
+    got = langid.classify(docs, langid.train(docs), names=names)
+    got = got.where((F.col(names[0]) != langid.UNDETERMINED) & (F.col(names[1]) >= LEAST_SCORE))
+    return got.withColumn("lang", F.coalesce("lang", names[0])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,8 +241,9 @@ def _predict(shared, n_extra: int):
     return run
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
-    """The passed columns (all by default), ``lang_pred`` and ``score`` (posterior with equal priors) of every whole text.
+def classify(docs: DataFrame, model: Model, text_col: str = "text", passed: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The passed columns (all by default), and under ``names`` the language and its score (posterior with equal priors)
+    of every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as are all where no language was learned.  An empty
     table gives no rows.
@@ -253,7 +254,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", passed: list
     narrow = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)])
     kinds = [docs.schema[c].dataType.simpleString() for c in passed]
     out = narrow.mapInArrow(_predict(shared, len(passed)), ", ".join([*(f"c{i} {t}" for i, t in enumerate(kinds)), "lang_pred string", "score double"]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], "lang_pred", "score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def predict(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, vocab_path: str | None = None) -> DataFrame:

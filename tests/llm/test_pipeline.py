@@ -40,5 +40,16 @@ def test_stages(spark):
         docs, before = spark.createDataFrame(rows, docs.schema), got
 
 
+def test_stages_with_odd_columns_and_no_rows(spark):
+    extra = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, node long, rid long, t string, c0 string"
+    rows = [(1, "the and of to in that " * 20, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, 1.0, "x", 1, 1, "t", "c"), (2, "of the and is for " * 30, "en", "s", 1, 1.0, "x", 1, 1, "t", "c")]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, extra)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            n = out.count()
+            assert (name == "packing" or out.columns == docs.columns) and (n > 0) == bool(some)
+
+
 def test_run_gives_the_last_stage(spark):
     assert "sequence_id" in corpus_pipeline.run(spark, SF).columns
