@@ -2,15 +2,21 @@
 
 A text is brought to a canonical form (lower case, equivalent spellings, no copyright lines, no punctuation, single
 spaces) and its digest is looked up among the digests of known licences and notices by a hash join.  Both the whole
-document and each of its lines are looked up.  DataFrame functions throughout; the table of known digests is a
-constant of this module.
+document and each of its lines are looked up.  DataFrame functions throughout; the known texts are the notices of
+``KNOWN`` and the full licences of the folder ``licences``, unless a table of others is given.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
+
 #: (licence id, kind, text): short public licences and the notices that refer to longer ones.
 KNOWN: list[tuple[str, str, str]] = [
     ("MIT", "notice", "Released under the MIT License."),
@@ -32,6 +38,28 @@ KNOWN: list[tuple[str, str, str]] = [
     ("MIT", "license", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 ]
 
+#: Full texts without title and copyright lines where these differ; ``<licence id>[~variant].txt``.
+TEXTS = Path(__file__).parent / "licences"
+#: What may stand above a short text.
+TITLES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The 2-Clause BSD License", "FreeBSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "Revised BSD License", "The 3-Clause BSD License", "BSD License", "The BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+}
+#: Wordings in use of one text: a phrase and its alternatives.
+WORDINGS: dict[str, list[tuple[str, list[str]]]] = {
+    "ISC": [("and/or distribute", ["and distribute"])],
+    "BSD-2-Clause": [("COPYRIGHT HOLDER OR", ["COPYRIGHT OWNER OR", "COPYRIGHT HOLDERS OR"])],
+    "BSD-3-Clause": [
+        ("COPYRIGHT HOLDER OR", ["COPYRIGHT OWNER OR", "COPYRIGHT HOLDERS OR"]),
+        ("name of the copyright holder nor", ["name of the copyright owner nor", "name of the copyright holders nor", "name of the author nor", "name of the organization nor", "name of the owner nor"]),
+    ],
+}
+
 #: Equivalent spellings: words of the canonical form and what they become.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("favour", "favor"), ("merchantibility", "merchantability"),
@@ -49,25 +77,61 @@ def canonical(column: str) -> str:
     return f"trim({sql})"
 
 
+def _forms(license_id: str, text: str) -> set[str]:
+    """A full text with its wordings, titles and layouts (as wrapped, a line per paragraph, one line)."""
+    texts = [text]
+    for phrase, others in WORDINGS.get(license_id, []):
+        texts += [t.replace(phrase, o) for t in texts for o in others if phrase in t]
+    if license_id.startswith("BSD-"):
+        texts += [re.sub(r"(?m)^\s*[0-9]\. ", "", t) for t in texts]
+    end = "END OF TERMS AND CONDITIONS"  # what follows, how to apply the licence, is often left out
+    texts += [t[: t.index(end) + k] for t in texts if end in t for k in (0, len(end))]
+    out = set()
+    for t, title, reserved in itertools.product(texts, ["", *TITLES.get(license_id, [])], ["", "All rights reserved."] if license_id in TITLES else [""]):
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", t)]
+        out |= {"\n".join([title, reserved, x]) for x in (t, "\n".join(paragraphs), " ".join(paragraphs))} | {" ".join([title, reserved, *paragraphs])}
+    return out
+
+
+def known_texts() -> list[tuple[str, str, str]]:
+    """(licence id, kind, text): the notices and full texts that ``scan`` knows by itself."""
+    full = [(f.stem.split("~")[0], f.read_text("utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    return [*KNOWN, *[(i, "license", form) for i, t in full for form in sorted(_forms(i, t))]]
+
+
+def digests(known: DataFrame) -> DataFrame:
+    """(digest, license_id, length of the canonical form) of a table (license_id, text), a row per digest; no empty forms."""
+    d = known.select(F.col("license_id").cast("string"), F.expr(canonical("CAST(text AS STRING)")).alias("form")).where("form != '' AND license_id IS NOT NULL")
+    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("length"))
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license_id, kind) of the known texts, a row per digest."""
-    df = spark.createDataFrame([(t, i, k) for i, k, t in KNOWN], "t string, license_id string, kind string")
-    return df.select(F.sha2(F.expr(canonical("t")), 256).alias("digest"), "license_id", "kind").groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("kind").alias("kind"))
+    """(digest, license_id, length) of ``known_texts``."""
+    return digests(spark.createDataFrame([(i, t) for i, _, t in known_texts()], "license_id string, text string"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, license_id (of the entire text, null if unknown) and line_licenses (sorted, of single lines).
 
     Null and empty texts, and those with only copyright lines, have the digest of the empty form and no licence.  Ids
-    may be null or repeat; an empty table gives no rows; extra columns are ignored; whole texts are digested.  The known
-    digests are a constant of the module, so that side's size is fixed.
+    may be null or repeat; an empty table gives no rows; extra columns are ignored; whole texts are digested.  ``known``
+    (license_id, text), of any size, takes the place of ``known_texts``; both are joined by digest.
     """
-    known = known_digests(docs.sparkSession)
+    spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    d = d.select("doc_id", F.sha2(F.expr(canonical("t")), 256).alias("digest"), F.expr("array_distinct(filter(split(t, '\\n'), x -> lower(x) LIKE '%licen%' OR lower(x) LIKE '%spdx%'))").alias("lines"))
+    d = d.select("doc_id", "t", F.sha2(F.expr(canonical("t")), 256).alias("digest"), F.expr("array_distinct(filter(split(t, '\\n'), x -> lower(x) LIKE '%licen%' OR lower(x) LIKE '%spdx%'))").alias("lines"))
     d = d.withColumn("lines", F.expr(f"transform(lines, x -> sha2({canonical('x')}, 256))"))
-    whole = d.join(F.broadcast(known.select("digest", "license_id")), "digest", "left")
-    ids = {r["digest"]: r["license_id"] for r in known.collect()}  # a constant table of len(KNOWN) rows at most
-    pairs = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    lines = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: F.element_at(pairs, x)), lambda x: x.isNotNull())))
-    return whole.select("doc_id", "digest", "license_id", F.concat_ws(",", lines).alias("line_licenses"))
+    if known is None:
+        rows = known_digests(spark).collect()  # a constant table
+        ids = {r["digest"]: r["license_id"] for r in rows}
+        table = F.broadcast(spark.createDataFrame(list(ids.items()), "digest string, license_id string"))
+        pairs = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+        found = F.transform(F.filter("lines", lambda x: x.isin(list(ids))), lambda x: F.element_at(pairs, x))
+        whole = d.join(table, "digest", "left").withColumn("found", found)
+    else:
+        table = C.settle(digests(known), "licences")
+        # lines depend on the text alone, so they come back by its digest
+        d = d.select("doc_id", "digest", "lines", F.sha2("t", 256).alias("key"))
+        hits = d.select("key", F.explode("lines").alias("line")).join(table.select(F.col("digest").alias("line"), "license_id"), "line").groupBy("key").agg(F.collect_set("license_id").alias("found"))
+        whole = d.join(table.select("digest", "license_id"), "digest", "left").join(hits, "key", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    return whole.select("doc_id", "digest", "license_id", F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("line_licenses"))

@@ -327,6 +327,24 @@ def test_licences(spark):
     assert license.scan(empty(spark, DOCS)).count() == 0
 
 
+def test_full_licence_texts_and_a_table_of_others(spark):
+    mit = license.KNOWN[-1][2].removeprefix("MIT License ")
+    bsd = (license.TEXTS / "BSD-3-Clause.txt").read_text()
+    rows = [(1, "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + mit), (2, mit), (3, "Copyright 1999 Y\nAll rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    rows += [(10 + i, (license.TEXTS / f"{n}.txt").read_text()) for i, n in enumerate(FULL)]
+    debian = Path("/usr/share/common-licenses/GPL-3")
+    rows += [(30, debian.read_text())] if debian.exists() else []
+    got = {r["doc_id"]: r["license_id"] for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause"} | {10 + i: n for i, n in enumerate(FULL)} | ({30: "GPL-3.0"} if debian.exists() else {})
+    docs = spark.createDataFrame([(1, "House  LICENCE, v1!"), (2, "a\nhouse license v1\nb"), (2, "a\nhouse license v1\nb"), (None, mit), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([("House", "house license v1"), ("Empty", ""), (None, mit)], "license_id string, text string")
+    got = sorted(((r["doc_id"], r["license_id"], r["line_licenses"]) for r in license.scan(docs, known).collect()), key=repr)
+    assert got == sorted([(1, "House", "House"), (2, None, "House"), (2, None, "House"), (None, None, ""), (3, None, "")], key=repr)
+
+
+FULL = ("BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-SA-4.0", "BSL-1.0")
+
+
 # --- personal data --------------------------------------------------------------------------------------------
 
 PII = [
