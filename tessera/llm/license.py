@@ -118,18 +118,25 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_
     (license_id, text), of any size, takes the place of ``known_texts``; both are joined by digest.
     """
     spark = docs.sparkSession
+    table = digests(known) if known is not None else known_digests(spark)
+    rows = None
+    if known is None:
+        rows = table.collect()  # a constant table
+        least = min(r["length"] for r in rows)
+    else:
+        table = C.settle(table, "licences")
+        least = table.agg(F.min("length").alias("n")).first()["n"] or 0
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    d = d.select("doc_id", "t", F.sha2(F.expr(canonical("t")), 256).alias("digest"), F.expr("array_distinct(filter(split(t, '\\n'), x -> lower(x) LIKE '%licen%' OR lower(x) LIKE '%spdx%'))").alias("lines"))
+    # a canonical form is never longer than its text, so shorter lines equal no known text
+    d = d.select("doc_id", "t", F.sha2(F.expr(canonical("t")), 256).alias("digest"), F.expr(f"array_distinct(filter(split(t, '\\n'), x -> length(x) >= {least}))").alias("lines"))
     d = d.withColumn("lines", F.expr(f"transform(lines, x -> sha2({canonical('x')}, 256))"))
-    if known is None:
-        rows = known_digests(spark).collect()  # a constant table
+    if rows is not None:
         ids = {r["digest"]: r["license_id"] for r in rows}
         table = F.broadcast(spark.createDataFrame(list(ids.items()), "digest string, license_id string"))
         pairs = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
         found = F.transform(F.filter("lines", lambda x: x.isin(list(ids))), lambda x: F.element_at(pairs, x))
         whole = d.join(table, "digest", "left").withColumn("found", found)
     else:
-        table = C.settle(digests(known), "licences")
         # lines depend on the text alone, so they come back by its digest
         d = d.select("doc_id", "digest", "lines", F.sha2("t", 256).alias("key"))
         hits = d.select("key", F.explode("lines").alias("line")).join(table.select(F.col("digest").alias("line"), "license_id"), "line").groupBy("key").agg(F.collect_set("license_id").alias("found"))

@@ -342,6 +342,21 @@ def test_full_licence_texts_and_a_table_of_others(spark):
     assert got == sorted([(1, "House", "House"), (2, None, "House"), (2, None, "House"), (None, None, ""), (3, None, "")], key=repr)
 
 
+def test_licences_on_lines_without_the_word(spark):
+    text = {i: t for i, _, t in license.KNOWN if i in ("ISC", "0BSD")}
+    assert not any("licen" in t.lower() or "spdx" in t.lower() for t in text.values())
+    docs = spark.createDataFrame([(1, f"before\n{text['ISC']}\nafter"), (2, f"x\n  {text['0BSD'].upper()}\n{text['ISC']}"), (3, "before\nafter")], "doc_id long, text string")
+    own = spark.createDataFrame([("ISC", text["ISC"]), ("0BSD", text["0BSD"])], "license_id string, text string")
+    for known in (None, own):
+        assert {r["doc_id"]: r["line_licenses"] for r in license.scan(docs, known).collect()} == {1: "ISC", 2: "0BSD,ISC", 3: ""}
+
+
+def test_canonical_forms_are_no_longer_than_their_texts(spark):
+    texts = [t for _, _, t in license.known_texts()] + [f"x {a} y {b} z" for a, b in license.SPELLINGS]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.selectExpr(f"length({license.canonical('t')}) AS n", "length(t) AS m").where("n > m").count() == 0
+
+
 FULL = ("BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-SA-4.0", "BSL-1.0")
 
 
