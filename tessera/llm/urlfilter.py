@@ -1,9 +1,9 @@
 """URL filters: host rules and trust over the link graph, as DataFrame functions.
 
 Rules decide first.  Urls that no rule fits get their host's verdict: personalised PageRank from trusted hosts along
-links (trust), and from blocked hosts against links (distrust); a host whose distrust is above ``tau`` times its trust
-and above ``floor`` is blocked.  Pages are counted into weighted host edges before anything is shuffled, and the
-iterations run over hosts only.
+links (trust), and from blocked hosts against links (distrust), iterated until the scores settle; a host whose
+distrust is above ``tau`` times its trust and above ``floor`` of a seed's mean share is blocked.  Pages are counted
+into weighted host edges before anything is shuffled, and the iterations run over hosts only.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ RULES: list[tuple[str, str, str]] = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-ROUNDS, DAMPING, TAU, FLOOR = 8, 0.85, 1.0, 1e-9
+DAMPING, TAU = 0.85, 1.0
+#: Both in mean shares of a seed, so that they don't depend on the crawl's size: the sum of changes at which scores count
+#: as settled (what is left then adds up to DAMPING / (1 - DAMPING) of it at most), and the least distrust that blocks.
+TOLERANCE, FLOOR = 1e-9, 1e-9
 
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -54,25 +57,35 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.select(F.col("host").alias("src"), host_of("link").alias("dst")).where("dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank (host, score) along edges (src, dst, weight) from seeds (host, share).
 
-    Scores of hosts without edges stay at the seeds.  Each round is one aggregate by target; rounds are written to the
-    shared folder.
+    Without any edges scores stay at the seeds.  ``rest`` is what a round adds; it is passed on until it sums to
+    ``tolerance`` or less.  Its sum shrinks by ``damping`` at least, so the rounds end.  Each round is one aggregate by
+    target, written to the shared folder; the round before is deleted.
     """
+    spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = C.settle(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "edges")
-    base = seeds.select("host", (F.col("share") * (1 - damping)).alias("score"))
-    score = C.settle(seeds.select("host", F.col("share").alias("score")), "scores")
     if share.isEmpty():
-        return score
-    for _ in range(rounds):
-        moved = score.join(share, score["host"] == share["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
-        score = C.settle(moved.unionByName(base).groupBy("host").agg(F.sum("score").alias("score")), "scores")
-    return score
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tau: float = TAU, floor: float = FLOOR, rounds: int = ROUNDS) -> DataFrame:
+        return C.settle(seeds.select("host", F.col("share").alias("score")), "scores")
+    first = (F.col("share") * (1 - damping)).cast("double")
+    state, before = seeds.select("host", first.alias("score"), first.alias("rest")), None
+    while True:
+        path = C.shared_path(spark, "scores")
+        state.write.option("compression", "zstd").parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        if before is not None:
+            C.drop_path(spark, before)
+        before = path
+        if (state.agg(F.sum("rest").alias("r")).first()["r"] or 0.0) <= tolerance:
+            return state.select("host", "score")
+        flow = state.where("rest > 0").join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rest") * F.col("p") * damping).alias("score"))
+        parts = flow.withColumn("rest", F.col("score")).unionByName(state.select("host", "score", F.lit(0.0).alias("rest")))
+        state = parts.groupBy("host").agg(F.sum("score").alias("score"), F.sum("rest").alias("rest"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tau: float = TAU, floor: float = FLOOR, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust of every page.
 
     Null urls and urls without ``://`` have empty host and path, fit no rule and are allowed, as is any host that no
@@ -86,16 +99,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *,
     named = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     counts = named.where("host != ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
     counts = C.settle(counts, "hosts")
-    total = counts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
+    total = counts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count_if(F.col("good") > 0).alias("trusted"), F.count_if(F.col("bad") > 0).alias("blocked")).first()
     edges = C.settle(host_edges(p), "links")
 
     def seeds(column: str, n: int | None) -> DataFrame:
         return counts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(n or 1))).alias("share"))
 
-    trust = propagate(edges, seeds("good", total["g"]), rounds)
+    trust = propagate(edges, seeds("good", total["g"]), tolerance / (total["trusted"] or 1))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds("bad", total["b"]), rounds)
+    distrust = propagate(back, seeds("bad", total["b"]), tolerance / (total["blocked"] or 1))
     hosts = counts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
-    hosts = hosts.withColumn("host_verdict", F.when((F.col("distrust") > floor) & (F.col("distrust") > tau * F.col("trust")), "block").otherwise("allow"))
+    hosts = hosts.withColumn("host_verdict", F.when((F.col("distrust") > floor / (total["blocked"] or 1)) & (F.col("distrust") > tau * F.col("trust")), "block").otherwise("allow"))
     out = named.join(hosts, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

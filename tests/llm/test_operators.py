@@ -274,6 +274,34 @@ def test_trust_and_distrust_follow_links(spark):
     assert got["pal.net"]["verdict"] == "block" and got["far.net"]["verdict"] == "block" and got["alone.net"]["verdict"] == "allow"
 
 
+def test_distrust_reaches_far_hosts_and_settles(spark):
+    n = 12
+    rows = [(0, "http://h0.com/de/", "")] + [(k, f"http://h{k}.net/", f'<a href="http://h{k - 1}.{"com" if k == 1 else "net"}/">x</a>') for k in range(1, n)]
+    got = {r["host"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1, n):
+        assert got[f"h{k}.net"]["verdict"] == "block" and abs(got[f"h{k}.net"]["distrust"] - 0.15 * 0.85**k) < 1e-12
+    r = random.Random(3)
+    links = np.array([[r.choice([0, 0, 1, 2]) if i != j else 0 for j in range(6)] for i in range(6)], float)
+    links[0, 1] = links[1, 0] = 5  # a cycle, where a few rounds don't settle
+    edges = [(f"{i}", f"{j}", float(links[i, j])) for i in range(6) for j in range(6) if links[i, j]]
+    scores = urlfilter.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("0", 1.0)], "host string, share double"), tolerance=1e-3)
+    p = links / np.maximum(links.sum(axis=1, keepdims=True), 1)
+    want = np.linalg.solve(np.eye(6) - 0.85 * p.T, 0.15 * np.eye(6)[0])
+    have = {r["host"]: r["score"] for r in scores.collect()}
+    assert sum(abs(have.get(f"{i}", 0.0) - want[i]) for i in range(6)) <= 1e-3 * 0.85 / 0.15
+
+
+def test_floor_does_not_depend_on_the_size_of_the_crawl(spark):
+    far = 25  # hosts from the blocked one
+    edges = [(f"h{k}.net", f"h{k - 1}.net" if k > 1 else "h0.com") for k in range(1, far + 1)]
+    rows = [(0, "http://h0.com/de/", "")] + [(i, f"http://{a}/", f'<a href="http://{b}/">x</a>') for i, (a, b) in enumerate(edges, 1)]
+    alone = spark.createDataFrame(rows, "page_id long, url string, html string")
+    others = spark.range(30000).selectExpr("id + 1000 AS page_id", "concat('http://o', id % 3000, '.com/de/', id) AS url", "'' AS html")
+    for pages in (alone, alone.unionByName(others)):
+        got = urlfilter.judge(pages, floor=1e-4).where("host LIKE 'h%.net'").collect()
+        assert len(got) == far and all(x["verdict"] == "block" for x in got)
+
+
 # --- languages ------------------------------------------------------------------------------------------------
 
 
