@@ -124,15 +124,20 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _scan(index, raw: bool, clean: int = 0):
-    """mapInArrow over (row_id, doc_id, text, more); with ``clean``, the rows without a match of so many words as they are."""
+def _scan(index, raw: bool, clean: int = 0, min_items: int = 2):
+    """mapInArrow over (row_id, doc_id, text, more).
+
+    With ``clean``, column 3 holds the items found before; rows with a match of so many words or ``min_items`` items are
+    left out, the others pass with the items found so far.
+    """
 
     def run(batches):
         ix = index.value
         for batch in batches:
             rows, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            out, clear = [], []
+            out, clear, so_far = [], [], []
+            before = [set(x) for x in batch.column(3).to_pylist()] if clean else []
             for a, b in C.text_blocks(texts):
                 data, ends = C.block_of(texts[a:b])
                 words, upto = C.word_hashes(data, ends, C.NON_ALNUM_BYTES)
@@ -156,7 +161,10 @@ def _scan(index, raw: bool, clean: int = 0):
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = total[upto] - total[upto - n]
                 if clean:
-                    clear += [longest.get(d, 0) < clean for d in range(b - a)]
+                    for d in range(b - a):
+                        got = items.get(d, set()) | before[a + d]
+                        so_far.append(sorted(got))
+                        clear.append(longest.get(d, 0) < clean and len(got) < min_items)
                     continue
                 for d in range(b - a):
                     if raw:
@@ -166,7 +174,7 @@ def _scan(index, raw: bool, clean: int = 0):
                         got = items.get(d, set())
                         out.append((docs[a + d], int(n[d]), int(n_hit[d]), len(got), _digest(got), len(got) >= 2, longest.get(d, 0)))
             if clean:
-                yield batch.filter(pa.array(clear, pa.bool_()))
+                yield batch.set_column(3, batch.schema.field(3), pa.array(so_far, batch.schema.field(3).type)).filter(pa.array(clear, pa.bool_()))
                 continue
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()] if raw else [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64()]
             names = [f.split()[0] for f in (_PART if raw else SCHEMA).split(", ")]
@@ -212,19 +220,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     ).to(T.StructType.fromDDL(SCHEMA))
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that share no run of ``min_words`` words (``WINDOW`` at least) with an item; columns unchanged.
+def without_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that share no run of ``min_words`` words (``WINDOW`` at least) with an item and hold fewer than
+    ``min_items`` items as ``contamination`` counts them (shorter items whole); columns unchanged.
 
     Null and empty texts stay.  A test set beyond ``block_bytes`` is worked through in blocks, each a pass over what
-    the one before left.
+    the one before left, with the items found so far.
     """
     spark = docs.sparkSession
     C.ship(spark)
     bench = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text")).where("item is not null")
     blocks = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("s")).first()["s"] // block_bytes + 1
-    out = docs.select(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(docs.columns)])
+    out = docs.select(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"), F.array().cast("array<string>").alias("f"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(docs.columns)])
     for k in range(blocks):
         some = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(TestIndex([(r["item"], r["text"]) for r in some.collect()]))
-        out = out.mapInArrow(_scan(index, raw=False, clean=max(min_words, WINDOW)), out.schema)
+        out = out.mapInArrow(_scan(index, raw=False, clean=max(min_words, WINDOW), min_items=min_items), out.schema)
     return out.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -467,6 +467,24 @@ def test_decontamination(spark, odd, block):
     assert clean.columns == df.columns
 
 
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_short_items_remove_documents(spark, tmp_path, block):
+    import corpus_pipeline
+
+    items = [("1", "capital of france"), ("2", "boiling point"), ("3", "w1 w2"), ("3", "w3"), ("4", "a much longer item of just nine words here"), (None, "w9"), ("5", None)]
+    texts = ["the Capital of France, and the boiling point", "capital of france capital of France", "w1 w2 w3", "w1 w2 boiling; POINT", "w9 w3", "point boiling of france", None, "", "so a much longer item of just nine words", "w3 capital of france boiling point w1 w2", "a much longer item of just w3"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, f string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    known = [x for x in items if x[0] is not None]
+    full = [x for x in known if len((x[1] or "").split()) >= 8]
+    want = [i for i, t in enumerate(texts) if len(brute.hits(t, known)[2]) < 2 and not brute.hits(t, full)[2]]
+    assert want == [1, 2, 4, 5, 6, 7, 10]
+    clean = decontaminate.without_matches(df, bench, block_bytes=block)
+    assert sorted(r["doc_id"] for r in clean.collect()) == want and clean.columns == df.columns
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()) == want
+
+
 def test_longest_match(spark):
     _, long = bench_rows()
     docs = spark.createDataFrame([(1, "a b " + " ".join(long[0][1].split()[4:20]) + " c"), (2, None)], "doc_id long, text string")
