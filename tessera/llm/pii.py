@@ -34,7 +34,7 @@ GENERATORS: list[tuple[str, str, str]] = [
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?:at|AT|@)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?[\[({](?:dot|DOT|\.)[\])}] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+)++", r"[\[({](?:at|AT|@)[\])}]"),
     ("phone", r"(?:\G|(?<![0-9+A-Za-z.-]))(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])", r"[0-9]{3}[ .-][0-9]{3,4}"),
     ("card", r"(?:\G|(?<![0-9A-Za-z.]))[0-9]{4}(?:[.][0-9]{4}){3}(?![0-9A-Za-z])", r"[0-9]{4}\.[0-9]{4}\."),
-    ("secret", r"(?:\G|(?<![A-Za-z0-9_]))(?:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,256}+\"?", r"[=:]"),
+    ("secret", r"(?:\G|(?<![A-Za-z0-9_]))(?i:password|passwd|pwd|token|secret|api_key|apikey) ?[=:] ?\"?[A-Za-z0-9+/_-]{8,}+\"?", r"[=:]"),
     ("secret", r"(?:\G|(?<![A-Za-z0-9]))A(?:KIA|SIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])", r"A(?:KIA|SIA)"),
 ]
 
@@ -86,7 +86,10 @@ def _sentences(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
             left += r.choice(["card ", "visa ", "pay with ", "credit "]) if good else r.choice(["version ", "page ", "id ", "ref "])
         elif g == 3:
             k = r.choice(["password", "token", "secret", "api_key"])
+            k = r.choice([k, k, k.capitalize(), k.upper()])
             v = r.choice([some(hexa, r.randint(16, 64)), some(base + base.lower(), r.randint(12, 48))])
+            if r.random() < 0.1:  # whole keys
+                v = some(base + base.lower() + "+/", r.randint(257, 3000))
             s = r.choice([f"{k}={v}", f'{k} = "{v}"', f"{k}: {v}"])
             if not good:
                 s = f"{k}{r.choice([': ', '=', ' = '])}{r.choice(['required', 'optional', 'sequence', 'forgotten', 'authentication', word() + word() + word()])}"

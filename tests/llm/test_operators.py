@@ -415,6 +415,22 @@ def test_method_adds_spans_and_redacts(spark):
     assert got[2] == "[EMAIL][EMAIL] x@y @b.c" and got[14] == PII[14]
 
 
+def test_long_secrets_and_key_words_in_any_case(spark):
+    r = random.Random(6)
+    value = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = [f"{k}{eq}{value(n)}" for k, eq, n in [("token", "=", 256), ("token", "=", 257), ("token", "=", 300), ("secret", ": ", 2732), ("Password", ": ", 24), ("API_KEY", "=", 40), ("ApiKey", " = ", 20000)]]
+    docs = spark.createDataFrame([(i, f"so {t} end") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()} == {i: f"secret:3:{3 + len(t)}" for i, t in enumerate(texts)}
+    assert {r["text"] for r in pii.redact(docs).collect()} == {"so [SECRET] end"}
+    kept = spark.createDataFrame([(1, "Password: required, TOKEN=sequence")], "doc_id long, text string")
+    assert pii.redact(kept).first()["text"] == "Password: required, TOKEN=sequence"
+
+
+def test_generated_candidates_hold_long_values_and_capitals():
+    made = [c[2] for c in pii._sentences(1200, 11) if c[0] == 3]
+    assert any(len(s) > 256 for s in made) and any(s[0].isupper() for s in made)
+
+
 def test_boosted_trees_on_held_out_candidates():
     trees, slope, offset, cuts = pii.model()
     hold = pii._sentences(600, 99)
