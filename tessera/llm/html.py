@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]{0,4000}+\"|'[^'<]{0,4000}+')*+>|<[a-zA-Z/!?][^<>]*+>?", re.S)
+TAG = re.compile(r"<!--|<[a-zA-Z/!?]")
+#: What matters inside a tag: its end, or an attribute's value, quoted (group 1) or not.
+EDGE = re.compile(r"[<>]|=\s*+(?:([\"'])|[^\s\"'<>][^\s<>]*+)")
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'<>/=])([^\s\"'<>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]+))")
+MARK = re.compile(r"\b(?:class|id|role)$", re.I)
 #: Their content is no markup.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "button", "title")
 INLINE = frozenset("a abbr b bdi bdo big cite code dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -33,6 +36,21 @@ CONTAINERS = frozenset("head body nav header footer aside form article main sect
 _SPACE = re.compile(r"\s+")
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name begins before ``at``: after ``>``, or before a ``<`` outside values.
+
+    Quoted values are read whole; a quote that never closes (``last`` has each quote's last place) counts as a character.
+    """
+    while m := EDGE.search(page, at):
+        quote = m[1]
+        if quote is None and m[0] in "<>":
+            return m.end() if m[0] == ">" else m.start()
+        at = m.end()
+        if quote and last[quote] >= at:
+            at = page.index(quote, at) + 1
+    return len(page)
+
+
 def pieces(page: str):
     """The page as ('tag', name or /name, container, 0, part) and ('text', decoded text, container, in link, part).
 
@@ -41,6 +59,7 @@ def pieces(page: str):
     """
     stack: list[tuple[str, str, int]] = []
     links = at = count = 0
+    last = {q: page.rfind(q) for q in "\"'"}
 
     def where() -> str:
         return stack[-1][1] if stack else "body"
@@ -55,8 +74,13 @@ def pieces(page: str):
             return
         if m.start() > at:
             yield "text", htmllib.unescape(page[at : m.start()]), where(), links, inside()
-        at = m.end()
-        n = NAME.match(m.group())
+        if m.group() == "<!--":
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        at = _tag_end(page, m.end(), last)
+        tag = page[m.start() : at]
+        n = NAME.match(tag)
         if n is None:
             continue
         close, name = n[1], n[2].lower()
@@ -75,7 +99,7 @@ def pieces(page: str):
                         break
             elif name not in VOID:
                 outer = where()
-                word = _part(name, m.group(), outer)
+                word = _part(name, tag, outer)
                 if not inside() and word in _GOOD:
                     count += 1
                     stack.append((name, word, count))
@@ -87,7 +111,7 @@ def pieces(page: str):
 def _part(name: str, tag: str, outer: str) -> str:
     """The word for a container; plain wrappers take their surroundings' word."""
     weights = vocabulary()
-    marks = [] if name == "body" else [w for m in MARK.finditer(tag) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w in weights]
+    marks = [] if name == "body" else [w for m in ATTRIBUTE.finditer(tag) if MARK.search(m[1]) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w in weights]
     if marks:
         return min(marks, key=weights.__getitem__)  # a telling word against the part counts more
     if outer in weights and outer != "body" and weights[outer] < 0:

@@ -450,6 +450,21 @@ def test_main_text():
         html.main_text(x)
 
 
+def test_quoted_attribute_values_are_read_whole():
+    import time
+
+    long = "<b>not text</b> > " * 1000
+    for tag in ['<a title="x < y">', "<a title='x > \"y\" <'>", f'<a data-x="{long}">', f"<a data-x = '{long}' id=\"k\">", "<a title=it's>", '<a href=u?x="y" "">', "<a x='open y=\"b>c\">"]:
+        assert html.main_text(f"<article><p>one two {tag}three</a> four</p></article>") == "one two three four", tag[:40]
+    assert html.main_text('<article data-x="<div class=\'ad\'>"><p>one two three</p></article>') == "one two three"
+    assert html.main_text('<article><p>one <a title="never closed>two</a> three</p></article>'.replace("title=\"", "title='")) == "one two three"
+    n = 60000
+    for x in ['<a ="<a " ' * n + "='", '<a x="' * n, "<a x='" * n + '"' * n, "<a x=" * n, "<a " + "x" * 5 * n, "<a " + "= " * n, '<div class="' * n + "'", "<div " + "class " * n + ">"]:
+        begin = time.process_time()
+        html.main_text(x)
+        assert time.process_time() - begin < 10, x[:20]
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>hello world</p>", "x"), (1, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in html.extract(pages).collect()), key=repr)
