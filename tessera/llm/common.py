@@ -13,10 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DEFAULT = "/tmp/checkpoints/tessera"
-
-
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+
+#: A key is heavy if it has one of ``MOST`` equal shares of the rows, and ``LEAST`` rows; so there are ``MOST`` at most.
+MOST, LEAST = 10_000, 256
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,11 +37,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that setting is absent (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder for local masters (tests); on a cluster that is an error, since executors
+    would not see each other's files.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if where is None:
-        where = _LOCAL_DEFAULT
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tessera-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
     return where
@@ -65,9 +72,43 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Select only the needed columns, so that extra columns with any name can't clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+class Scratch:
+    """Settled intermediate results of one operator, deleted when it says so."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        """Like ``settle``, remembered."""
+        self.paths.append(shared_path(self.spark, label))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete all but the ``keep`` latest; nothing may read them any more."""
+        for path in self.paths[: len(self.paths) - keep]:
+            drop_path(self.spark, path)
+        del self.paths[: len(self.paths) - keep]
+
+
+# --- skewed keys ------------------------------------------------------------------------------------------------
+
+
+def heavy(counts: DataFrame, total: int) -> DataFrame:
+    """Of (keys ..., k rows), the keys with a large share of ``total`` rows: ``MOST`` at most, so they can be broadcast."""
+    return counts.where(F.col("k") >= max(LEAST, -(-total // MOST)))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` where keys in ``hot`` (keys ..., k; from ``heavy``) hold many of left's rows.
+
+    Their rows are dealt to k / LEAST salts by a hash of left's column ``by``; right's rows of such keys, which should
+    be one a key, are repeated for each salt, so right grows by a LEAST-th of left's rows at most.
+    """
+    few = F.broadcast(hot.select(*on, F.ceil(F.col("k") / LEAST).alias("_salts")))
+    a = left.join(few, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(by)), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
+    b = right.join(few, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_salts")
+    return a.join(b, [*on, "_salt"], how).drop("_salt")
 
 
 # --- vectorised words -------------------------------------------------------------------------------------------
@@ -81,29 +122,6 @@ NON_ALNUM_BYTES[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] =
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 20)
-        for key, base in (("p", _BASE), ("i", _INV)):
-            out = np.empty(size, dtype=np.uint64)
-            out[0] = 1
-            done = 1
-            while done < size:  # doubling: out[done:2 done] = out[:done] * base^done
-                take = min(done, size - done)
-                step = np.uint64(pow(int(base), done, 2**64))
-                np.multiply(out[:take], step, out=out[done : done + take])
-                done += take
-            _POW[key] = out
-    return _POW["p"], _POW["i"]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, in place on a copy."""
     x = x.astype(np.uint64, copy=True)
@@ -115,18 +133,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Random words for a byte at a place in a word; later places are mixed as they come.
+PLACES = 32
+_TABLE = mix64(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _segment_hashes(low: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of lower-cased bytes that end with a splitting byte."""
+    """Hashes and starts of the words of lower-cased bytes.
+
+    A word's hash is the sum of a random number for each pair of place and byte (tabulation, so no algebra of the bytes
+    makes two words equal), mixed with its length.
+    """
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if word[0]:
         edge = np.concatenate([[0], edge])
+    if word[-1]:
+        edge = np.concatenate([edge, [len(word)]])
     start, stop = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(low) + 1)
-    total = np.empty(len(low) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[low] * power[: len(low)], out=total[1:])
-    h = (total[stop] - total[start]) * inverse[start]
-    return mix64(h + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+    if not len(start):
+        return np.zeros(0, np.uint64), start
+    size = stop - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+    own = low[word].astype(np.int64)
+    if int(size.max()) <= PLACES:
+        value = _TABLE[place * 256 + own]
+    else:
+        value = _TABLE[np.minimum(place, PLACES - 1) * 256 + own]
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix64((place[far] * 256 + own[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, splits: np.ndarray, segment: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:

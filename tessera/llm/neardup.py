@@ -9,11 +9,16 @@ known set sizes, then their full sets are compared.
 Components need no pair twice and no pair inside one component, which keeps a large bucket linear:
 
 1. Star: each bucket's members are compared with its smallest member only; links give components.
-2. Rest: buckets that still hold several components compare the full sets of members outside the bucket's main
-   component with all others, in cells of bounded size; a cell returns at most one link between two components.
+2. Rest: buckets that still hold several components compare members outside the bucket's main component with all
+   others, in cells of bounded size: first their registers, then the full sets of those that have a likely partner in
+   the cell; a cell returns at most one link between two components.
 
 All pairs that share a bucket are thus linked, known to be unlinked, or in one component already.  A pair at the
 threshold shares no bucket with probability ``(1 - 0.8**ROWS)**BANDS`` (1e-7 here).
+
+Keys with many rows (a bucket, a star's center, a node, a component, a set with many copies) are counted before they
+are joined and dealt to salts (``common.salted_join``).  What is compared in full is shipped as text: its lines compress
+where hashes of shingles, one of eight bytes a word, don't.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common as C
 
@@ -31,7 +37,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: The likelihood test lets pass what is estimated above threshold minus this many standard deviations.
 SIGMAS = 5.0
 #: Members and outsiders of a bucket that one block compares.
-BLOCK, CHUNK = 512, 512
+BLOCK, CHUNK = 256, 256
 
 _g = np.random.Generator(np.random.PCG64(7))
 _A = (_g.integers(0, 2**32, size=M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -191,11 +197,11 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough.  A center's members go to salts of about 256."""
+def _linked(pairs: DataFrame, hot: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough.  Members of a center in ``hot`` go to salts of LEAST."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
-    salted = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / 256)).alias("salt"), "b")
+    salts = F.broadcast(hot.select("a", F.ceil(F.col("k") / C.LEAST).alias("salts")))
+    salted = pairs.join(salts, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0).cast("long")).alias("salt"), "b")
     centers = salted.select("a", "salt").distinct().select("a", "salt", F.lit(-1).cast("long").alias("b"), F.col("a").alias("node"))
     rows = salted.withColumn("node", F.col("b")).unionByName(centers).join(texts, "node").select("a", "salt", "b", "text")
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(_verify(size, percent), "a long, b long")
@@ -204,21 +210,28 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 # --- components -------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
     """Connected components: (node, comp), comp the smallest node reachable; nodes without links have no row.
 
-    Minimum labels with pointer jumping; each round is written to the shared folder.  A hub's edges meet in partial
-    aggregates and in joins that can be split, never in one list.
+    Minimum labels with pointer jumping; each round is written to the shared folder.  The edges of hubs and the nodes of
+    large components are salted; minima are partial aggregates.
     """
-    both = C.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = C.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    own = C.Scratch(scratch.spark)
+    both = own.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    hubs = own.settle(C.heavy(both.groupBy("b").agg(F.count("*").alias("k")), both.count()), "hubs")
+    label = own.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
+    nodes, keep = label.count(), len(own.paths) - 1
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("low"))
-        hop = label.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        step = label.join(near, label["node"] == near["a"]).join(hop, "comp").select("node", F.least("comp", "low", "up").alias("comp"), F.col("comp").alias("was"))
-        step = C.settle(step, "labels")
+        near = C.salted_join(both, label.select(F.col("node").alias("b"), "comp"), ["b"], hubs, by="a").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
+        step = label.join(near, "node")
+        large = C.heavy(label.groupBy("comp").agg(F.count("*").alias("k")), nodes)
+        step = C.salted_join(step, label.select(F.col("node").alias("comp"), F.col("comp").alias("up")), ["comp"], large, by="node")
+        step = own.settle(step.select("node", F.least("comp", "low", "up").alias("comp"), F.col("comp").alias("was")), "labels")
+        C.drop_path(own.spark, own.paths.pop(keep))
         label = step.select("node", "comp")
         if step.where("comp < was").isEmpty():
+            scratch.paths.append(own.paths.pop())
+            own.drop()
             return label
 
 
@@ -238,6 +251,49 @@ class _Union:
         self.up[self.find(x)] = self.find(y)
 
 
+def _cells(batches, width: int):
+    """The rows after the first three columns, for each value of these; ``width`` columns, the last one binary."""
+    key, held = None, []
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(width - 1)] + [batch.column(width - 1).cast(pa.binary()).to_pylist()]
+        for row in zip(*cols, strict=True):
+            if row[:3] != key:
+                if held:
+                    yield key, held
+                key, held = row[:3], []
+            held.append(row[3:])
+    if held:
+        yield key, held
+
+
+def _screen(level: float, ratio: float):
+    """mapInArrow over (bucket, blk, chunk, outside, node, comp, n, sketch), sorted by the first four: the rows whose
+    registers let a link with a row of the cell's other side and of another component be likely, without n and sketch.
+    """
+
+    def run(batches):
+        for key, held in _cells(batches, 8):
+            outside, node, comp, n, sketch = zip(*held, strict=True)
+            first = outside.index(True) if outside[-1] else len(held)
+            if not 0 < first < len(held):
+                continue
+            regs, n, comps = np.frombuffer(b"".join(sketch), dtype="<u2").reshape(-1, M), np.array(n, float), np.array(comp)
+            keep = np.zeros(len(held), dtype=bool)
+            for o in range(first, len(held)):
+                at = np.flatnonzero((comps[:first] != comps[o]) & (np.minimum(n[:first], n[o]) >= ratio * np.maximum(n[:first], n[o])))
+                at = at[likely(regs[at], regs[o], n[at], n[o], level)]
+                keep[at] = True
+                keep[o] = len(at) > 0
+            at = np.flatnonzero(keep)
+            if len(at):
+                kept = [held[i] for i in at]
+                cols = [[k] * len(at) for k in key] + [[r[i] for r in kept] for i in range(3)]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "blk", "chunk", "outside", "node", "comp"])
+
+    return run
+
+
 def _cross(size: int, percent: int):
     """mapInArrow over (bucket, blk, chunk, outside, node, comp, text), sorted by the first four: links (a, b).
 
@@ -278,26 +334,14 @@ def _cross(size: int, percent: int):
                     out.append((node[o], node[members[m]]))
 
     def run(batches):
-        key, held = None, []
         out: list[tuple[int, int]] = []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            texts = batch.column(6).cast(pa.binary()).to_pylist()
-            for row in zip(*cols, texts, strict=True):
-                if row[:3] != key:
-                    flush(held, out)
-                    key, held = row[:3], []
-                held.append(row[3:])
-            if out:
+        for _, held in _cells(batches, 7):
+            if held[0][0] != held[-1][0]:  # there are members, which come first, and outsiders
+                cell(*zip(*held, strict=True), out)
+            if len(out) >= 10_000:
                 yield emit(out)
-        flush(held, out)
         yield emit(out)
 
-    def flush(held, out):
-        if held and held[0][0] != held[-1][0]:  # there are members, which come first, and outsiders
-            outside, node, comp, texts = zip(*held, strict=True)
-            cell(outside, node, comp, texts, out)
-
     def emit(out):
         a, b = [x[0] for x in out], [x[1] for x in out]
         out.clear()
@@ -306,62 +350,72 @@ def _cross(size: int, percent: int):
     return run
 
 
-def _rest(multi: DataFrame, comp: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a bucket."""
+def _rest(multi: DataFrame, hot: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame:
+    """Links (a, b) between components that share a bucket; ``hot`` has the buckets with many members."""
     parts = int(multi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = multi.where("cnt >= 3").join(comp, "node", "left").select("bucket", "node", "cnt", F.coalesce("comp", "node").alias("comp"))
+    m = scratch.settle(multi.where("cnt >= 3").join(comp, "node", "left").select("bucket", "node", "cnt", F.coalesce("comp", "node").alias("comp")), "members")
     shares = m.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.k").alias("inside"))
-    m = m.join(main, "bucket")
+    m = C.salted_join(m, main, ["bucket"], hot, by="node")
     m = m.withColumn("blocks", F.ceil(F.col("cnt") / BLOCK)).withColumn("chunks", F.ceil((F.col("cnt") - F.col("inside")) / CHUNK))
     h = F.xxhash64("node", "bucket")
     members = m.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("bucket", F.pmod(h, F.col("blocks")).alias("blk"), "chunk", F.lit(False).alias("outside"), "node", "comp")
     out = m.where("comp != main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "blk", F.pmod(h, F.col("chunks")).alias("chunk"), F.lit(True).alias("outside"), "node", "comp")
-    cells = members.unionByName(out).join(texts, "node").select("bucket", "blk", "chunk", "outside", "node", "comp", "text")
-    cells = cells.repartition(parts, "bucket", "blk", "chunk").sortWithinPartitions("bucket", "blk", "chunk", "outside")
-    return cells.mapInArrow(_cross(size, percent), "a long, b long").distinct()
+    key = ["bucket", "blk", "chunk"]
+    cells = scratch.settle(members.unionByName(out), "cells").join(sketches, "node").select(*key, "outside", "node", "comp", "n", "sketch")
+    cells = cells.repartition(parts, *key).sortWithinPartitions(*key, "outside").mapInArrow(_screen(test_level(percent / 100), percent / 100), "bucket long, blk long, chunk long, outside boolean, node long, comp long")
+    cells = scratch.settle(cells, "likely").join(texts, "node").select(*key, "outside", "node", "comp", "text")
+    return cells.repartition(parts, *key).sortWithinPartitions(*key, "outside").mapInArrow(_cross(size, percent), "a long, b long").distinct()
 
 
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with set size, fingerprint and row number, ``extra`` columns as x0 and so on; and, per class of
-    equal sets, its fingerprint, its component's smallest doc_id and the row that stands for the component.
+def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with set size, fingerprint and row number, ``extra`` columns as x0 and so on; per class of equal
+    sets, its fingerprint, its component's smallest doc_id and the row that stands for the component; and the
+    fingerprints of classes with many documents.
     """
-    C.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    C.ship(spark)
+    tmp = C.Scratch(spark)
     level, ratio = test_level(percent / 100), percent / 100
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
-    base = narrow.mapInArrow(_sketch(shingle), f"{kinds}, n long, f1 long, f2 long, sketch binary")
-    base = C.settle(base.withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min_by("rid", "doc_id").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    reps = C.settle(reps.withColumn("row", F.coalesce("row", "node")), "classes")
+    schema = T.StructType([*narrow.schema.fields, *T.StructType.fromDDL("n long, f1 long, f2 long, sketch binary").fields])
+    base = C.settle(narrow.mapInArrow(_sketch(shingle), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min_by("rid", "doc_id").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    reps = tmp.settle(reps.withColumn("row", F.coalesce("row", "node")), "classes")
+    copied = C.heavy(reps.select("f1", "f2", F.col("copies").alias("k")), base.count())
 
     bands = reps.select("node", "sketch").mapInArrow(_bands, "bucket long, node long")
-    lead = bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1")
-    multi = C.settle(bands.join(lead, "bucket"), "buckets")
+    lead = tmp.settle(bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1"), "leads")
+    hot = C.heavy(lead.select("bucket", F.col("cnt").alias("k")), BANDS * reps.count())
+    multi = tmp.settle(C.salted_join(bands, lead, ["bucket"], hot, by="node"), "buckets")
     # the only texts that are looked at again: those that share a bucket with another
-    texts = C.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
+    texts = tmp.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
 
     r = reps.select("node", "n", "sketch")
     left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
     right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
-    star = multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(left, "a").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
-    edges = C.settle(_linked(C.settle(star, "stars"), texts, shingle, percent), "links")
-    comp = components(edges)
-    more = C.settle(_rest(multi, comp, texts, shingle, percent), "links")
+    star = tmp.settle(multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    hubs = tmp.settle(C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), star.count()), "hubs")
+    pairs = C.salted_join(star, left, ["a"], hubs, by="b").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
+    edges = tmp.settle(_linked(tmp.settle(pairs, "pairs"), hubs, texts, shingle, percent), "links")
+    comp = components(edges, tmp)
+    more = tmp.settle(_rest(multi, hot, comp, r, texts, shingle, percent, tmp), "links")
     if not more.isEmpty():
-        comp = components(edges.unionByName(more))
+        comp = components(edges.unionByName(more), tmp)
 
     named = reps.select("node", "f1", "f2", "low", "row").join(comp, "node", "left")
-    smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("first"), F.min_by("row", "low").alias("stay"), F.min("row").alias("any"))
-    classes = named.join(smallest, "comp", "left").select(
+    smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("first"), F.min_by("row", "low").alias("stay"), F.min("row").alias("any"), F.count("*").alias("k"))
+    smallest = tmp.settle(smallest, "smallest")
+    classes = C.salted_join(named, smallest.drop("k"), ["comp"], C.heavy(smallest.select("comp", "k"), reps.count()), by="node", how="left").select(
         "f1", "f2", F.when(F.col("comp").isNull(), F.col("low")).otherwise(F.col("first")).alias("component"),
         F.when(F.col("comp").isNull(), F.col("row")).otherwise(F.coalesce("stay", "any")).alias("stay"),
     )
-    return base, classes
+    classes, copied = C.settle(classes, "classes"), C.settle(copied, "copied")
+    tmp.drop()
+    return base, classes, copied
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -373,8 +427,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Repeated rows are copies of each other: the same component_id, kept alike.  Very long texts are hashed in segments.
     An empty table gives no rows.  Extra columns are ignored.
     """
-    base, classes = _classes(docs, id_col, text_col, [], shingle, percent)
-    out = base.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
+    base, classes, copied = _classes(docs, id_col, text_col, [], shingle, percent)
+    out = C.salted_join(base.select("doc_id", "n", "f1", "f2", "rid"), classes, ["f1", "f2"], copied, by="rid", how="left")
     cid = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), cid.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -385,7 +439,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of repeated rows one stays.  Columns are those of ``docs``.
     """
     extra = [c for c in docs.columns if c != text_col]
-    base, classes = _classes(docs, id_col, text_col, extra, shingle, percent)
+    base, classes, _ = _classes(docs, id_col, text_col, extra, shingle, percent)
     stay = classes.select(F.col("stay").alias("rid")).distinct()
     kept = base.where("n > 0").join(stay, "rid", "left_semi").unionByName(base.where("n = 0"))
     names = {c: F.col(f"x{i}").alias(c) for i, c in enumerate(extra)} | {text_col: F.col("text").alias(text_col)}
