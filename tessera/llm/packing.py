@@ -2,9 +2,11 @@
 
 Every document becomes token ids plus one end id.  Whole windows are cut off at once; what is left (shorter than a
 window) is gathered into blocks of a fixed number of tokens.  In a block the lengths form a histogram of at most
-``window - 1`` entries.  Combinations of up to three of its lengths that fill a window exactly are the columns of a
-non-negative least squares problem whose solution says how often to use each; the counts are rounded down, used as far
-as the histogram goes, and the rest is packed greedily (largest first, best fit), cutting a piece where nothing fits.
+``window - 1`` entries.  All combinations of up to three of its lengths that fill a window exactly are the columns of a
+non-negative least squares problem whose solution says how often to use each.  It is solved by coordinate descent over
+the columns in use; all triples are priced by the residual again and again, and those that would still be used enter,
+until none would be.  The counts are rounded down, used as far as the histogram goes, and the rest is packed greedily
+(largest first, best fit), cutting a piece where nothing fits.
 The last sequence of a block is cut at powers of two, which need no padding.
 
 One pass and no shuffle: a block lives in one task, so nothing grows with the corpus, and a task that runs again after
@@ -28,8 +30,8 @@ from tessera.llm import common as C
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Patterns with three lengths take one of them from this many lengths at most, evenly spaced among those present.
-ANCHORS = 48
+#: Uses of a pattern that count as none when the solution has settled (uses are whole numbers in the end).
+SETTLED = 0.25
 #: Tokens gathered before a block is packed; bounds a task's memory (2 bytes a token).
 BLOCK_TOKENS = 1 << 24
 
@@ -52,7 +54,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(json_path)
-        self.whole.encode_special_tokens = True
+        #: Strings that ``tokenizers`` takes for one id wherever they stand; such texts are encoded whole.
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.single = self.fast._core_bpe.encode_single_piece
@@ -89,6 +92,8 @@ class ChunkEncoder:
 
     def ids(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 16-bit integers."""
+        if any(x in text for x in self.special):
+            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         chunks = text.split(" ")
         first = chunks[0]
         if len(chunks) == 1 or not first or first[-1].isspace():
@@ -101,50 +106,76 @@ class ChunkEncoder:
         return self._encode(first) + b"".join(rest)
 
 
-def combinations(present: np.ndarray, window: int, anchors: int = ANCHORS) -> list[tuple[int, ...]]:
-    """Length combinations of depth 1 to 3 that fill the window exactly, by ascending depth."""
+def pairs(present: np.ndarray, window: int) -> list[tuple[int, ...]]:
+    """Combinations of one or two of the lengths that fill the window exactly."""
     have = np.zeros(window + 1, dtype=bool)
     have[present] = True
-    out: list[tuple[int, ...]] = [(window,)] if have[window] else []
-    a = present[present * 2 <= window]
-    a = a[have[window - a]]
-    out += list(zip(a.tolist(), (window - a).tolist(), strict=True))
-    some = present[np.unique(np.linspace(0, len(present) - 1, min(anchors, len(present))).astype(int))] if len(present) else present
-    seen = set()
-    for x in some.tolist():
-        y = present[present < window - x]
-        z = window - x - y
-        ok = have[z] & (z > 0) & (y <= z)
-        for p, q in zip(y[ok].tolist(), z[ok].tolist(), strict=True):
-            seen.add(tuple(sorted((x, p, q))))
-    return out + sorted(seen)
-
-
-def nnls(patterns: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 12, tol: float = 0.25) -> list[float]:
-    """min ||A x - h||, x >= 0, by coordinate descent; column p of A counts each length in pattern p."""
-    rest = histogram.astype(float).tolist()
-    cols = [tuple({v: p.count(v) for v in p}.items()) for p in patterns]
-    norm = [sum(k * k for _, k in c) for c in cols]
-    x = [0.0] * len(cols)
-    for _ in range(sweeps):
+    a = present[(present * 2 <= window) & have[window - present]]
+    return ([(window,)] if have[window] else []) + list(zip(a.tolist(), (window - a).tolist(), strict=True))
+
+
+def triples(present: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All combinations x <= y <= z of three of the lengths that fill the window exactly, by ascending x."""
+    have = np.zeros(window + 1, dtype=bool)
+    have[present] = True
+    out = []
+    for x in present[present * 3 <= window].tolist():
+        y = present[(present >= x) & (present * 2 <= window - x)]
+        y = y[have[window - x - y]]
+        out.append(np.stack([np.full(len(y), x), y, window - x - y]))
+    return tuple(np.concatenate([*out, np.zeros((3, 0), np.int64)], axis=1).astype(np.int64))
+
+
+def _descend(cols: list[tuple], norm: list[int], x: list[float], rest: list[float], tol: float) -> None:
+    """Coordinate descent until a sweep changes no use by more than ``tol``."""
+    most = tol + 1.0
+    while most > tol:
         most = 0.0
         for j, c in enumerate(cols):
             g = 0.0
             for v, k in c:
                 g += k * rest[v]
-            new = x[j] + g / norm[j]
-            if new < 0.0:
-                new = 0.0
-            d = new - x[j]
+            d = max(x[j] + g / norm[j], 0.0) - x[j]
             if d:
-                x[j] = new
+                x[j] += d
                 for v, k in c:
                     rest[v] -= d * k
-                if abs(d) > most:
-                    most = abs(d)
-        if most < tol:
-            break
-    return x
+                most = max(most, abs(d))
+
+
+def nnls(histogram: np.ndarray, window: int, tol: float = SETTLED) -> tuple[list[tuple[int, ...]], list[float]]:
+    """The patterns in use and how often: min ||A x - h||, x >= 0, over all patterns of up to three lengths.
+
+    Column p of A counts each length in pattern p.  A triple enters while its use, by the residual alone, would rise
+    by more than ``tol``; at the end no column's would.
+    """
+    present = np.flatnonzero(histogram)
+    patterns = pairs(present, window)
+    counted = lambda p: tuple({v: p.count(v) for v in p}.items())
+    cols = [counted(p) for p in patterns]
+    norm = [sum(k * k for _, k in c) for c in cols]
+    x, rest = [0.0] * len(cols), histogram.astype(float).tolist()
+    a, b, c = triples(present, window)
+    weight = np.where((a == b) & (b == c), 9.0, np.where((a == b) | (b == c), 5.0, 3.0))
+    head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else a
+    known = np.zeros(len(a), dtype=bool)
+    while True:
+        _descend(cols, norm, x, rest, tol)
+        if not len(a):
+            return patterns, x
+        r = np.array(rest)
+        rise = np.where(known, 0.0, (r[a] + r[b] + r[c]) / weight)
+        top = np.maximum.reduceat(rise, head)
+        at = np.flatnonzero((rise > tol) & (rise == np.repeat(top, np.diff(np.append(head, len(a))))))
+        at = at[np.unique(a[at], return_index=True)[1]]  # the best triple of each smallest length
+        if not len(at):
+            return patterns, x
+        known[at] = True
+        for i in at.tolist():
+            patterns.append((int(a[i]), int(b[i]), int(c[i])))
+            cols.append(counted(patterns[-1]))
+            norm.append(int(weight[i]))
+            x.append(0.0)
 
 
 def pack_block(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
@@ -159,8 +190,7 @@ def pack_block(lengths: np.ndarray, window: int) -> list[list[tuple[int, int, in
     for v in np.flatnonzero(histogram).tolist():
         stacks[v] = [(i, 0) for i in order[at : at + histogram[v]].tolist()[::-1]]
         at += int(histogram[v])
-    patterns = combinations(np.array(sorted(stacks), dtype=np.int64), window)
-    x = nnls(patterns, histogram)
+    patterns, x = nnls(histogram, window)
     out: list[list[tuple[int, int, int]]] = []
     for j in sorted((j for j in range(len(patterns)) if x[j] >= 1.0), key=lambda j: -x[j]):
         need = {v: patterns[j].count(v) for v in patterns[j]}
