@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common as C
 
@@ -23,8 +24,11 @@ from tessera.llm import common as C
 SAMPLE_DOCS = 250
 #: Rounds of expectation maximisation; added count of each piece; probability of a character outside the vocabulary.
 ROUNDS, ADDED, UNKNOWN = 3, 0.1, 1e-7
-#: Words whose values a task keeps; longer words than ``LONG`` characters are scored one by one.
+#: Words whose values a task keeps.  Words beyond ``LONG`` characters are worked through with logarithms, as are all in
+#: training: runs of letters in languages without spaces.
 CACHE, LONG = 300_000, 40
+#: Cells (positions times words) of a block's lattices.
+CELLS = 1 << 19
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -106,69 +110,84 @@ class Model:
             _add(alpha[j], w[part], alpha[s[part], w[part]] * self.prob[p[part]])
         return alpha
 
+    def log_forward(self, lattice) -> np.ndarray:
+        """Logarithms of ``forward``, for words of any length.  A position's sum is taken relative to the position before."""
+        w, s, e, p, sizes = lattice
+        out = np.zeros((int(sizes.max(initial=0)) + 1, len(sizes), len(self.langs)))
+        ends = np.searchsorted(e, np.arange(1, out.shape[0] + 1))
+        for j in range(1, out.shape[0]):
+            part = slice(ends[j - 1], ends[j])
+            who = w[part]
+            total = np.zeros(out.shape[1:])
+            _add(total, who, np.exp(out[s[part], who] - out[j - 1, who]) * self.prob[p[part]])
+            out[j] = out[j - 1] + np.log(np.maximum(total, 1e-300))
+        return out
+
+    def posterior(self, lattice) -> np.ndarray:
+        """For each edge and language, the probability that a segmentation of its word takes it.
+
+        ``behind`` is the probability of what follows a position, divided by that of the whole word and multiplied by
+        that of what precedes it; so it stays between 0 and 1 whatever the word's length.
+        """
+        w, s, e, p, sizes = lattice
+        front = self.log_forward(lattice)
+        share = np.exp(front[s, w] - front[e, w]) * self.prob[p]  # of an end's sum, this edge's part
+        behind = np.zeros_like(front)
+        behind[sizes, np.arange(len(sizes))] = 1.0
+        by_start = np.lexsort((w, -s))
+        at = -s[by_start]
+        places = -np.arange(front.shape[0])
+        first, last = np.searchsorted(at, places, "left"), np.searchsorted(at, places, "right")
+        for j in range(front.shape[0] - 1, -1, -1):
+            part = by_start[first[j] : last[j]]
+            _add(behind[j], w[part], behind[e[part], w[part]] * share[part])
+        return share * behind[e, w]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language, summed over segmentations."""
         out = np.zeros((len(words), len(self.langs)))
-        short = [i for i, x in enumerate(words) if len(x) <= LONG]
-        short.sort(key=lambda i: len(words[i]))
-        for at in range(0, len(short), 4096):
-            some = short[at : at + 4096]
+        for some in _blocks(words):
             lat = self.lattice([words[i] for i in some])
-            alpha = self.forward(lat)
-            out[some] = np.log(np.maximum(alpha[lat[4], np.arange(len(some))], 1e-300))
-        for i, x in enumerate(words):
-            if len(x) > LONG:
-                out[i] = self._scaled(x)
+            last = lat[4], np.arange(len(some))
+            if len(words[some[-1]]) <= LONG:
+                out[some] = np.log(np.maximum(self.forward(lat)[last], 1e-300))
+            else:
+                out[some] = self.log_forward(lat)[last]
         return out
 
-    def _scaled(self, x: str) -> np.ndarray:
-        """The same for a word of any length, rescaled at every character."""
-        x, most = "▁" + x, self.longest
-        unk = self.prob[len(self.pieces)]
-        recent, total = [np.ones(len(self.langs))], np.zeros(len(self.langs))
-        for j in range(1, len(x) + 1):
-            a = np.zeros(len(self.langs))
-            for back in range(1, min(most, j, len(recent)) + 1):
-                q = self.pieces.get(x[j - back : j])
-                if q is not None:
-                    a += recent[-back] * self.prob[q]
-                elif back == 1:
-                    a += recent[-1] * unk
-            scale = np.maximum(a, 1e-300)
-            total += np.log(scale)
-            recent = [r / scale for r in recent[-most + 1 :]] + [a / scale]
-        return total
+
+def _blocks(words: list[str]):
+    """Indexes of words of like length, in blocks of bounded size; words beyond ``LONG`` apart."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    some: list[int] = []
+    for i in order:
+        n = len(words[i])
+        if some and (len(some) >= 4096 or (len(some) + 1) * (n + 2) > CELLS or len(words[some[-1]]) <= LONG < n):
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
 
 
 def fit(counts: dict[str, Counter], pieces: dict[str, int], rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation per language from word counts; no languages: a model without any."""
+    """Expectation maximisation per language from word counts, words of all lengths; no languages: a model without any."""
     langs = sorted(counts)
-    words = [w for w in dict.fromkeys(w for c in counts.values() for w in c) if len(w) <= LONG]
+    words = list(dict.fromkeys(w for c in counts.values() for w in c))
     unk = len(pieces)
     model = Model(pieces, langs, np.full((unk + 1, len(langs)), 1.0 / (unk + 1)))
     model.prob[unk] = UNKNOWN
     if not langs or not words:
         return model
     c = np.array([[counts[x][w] for x in langs] for w in words], dtype=float)
-    words_by = sorted(range(len(words)), key=lambda i: len(words[i]))
-    blocks = [words_by[a : a + 8192] for a in range(0, len(words_by), 8192)]
+    blocks = list(_blocks(words))
     lattices = [model.lattice([words[i] for i in b]) for b in blocks]
     for _ in range(rounds):
         expected = np.full((unk + 1, len(langs)), ADDED)
         for b, lat in zip(blocks, lattices, strict=True):
-            w, s, e, p, sizes = lat
-            alpha = model.forward(lat)
-            beta = np.zeros_like(alpha)
-            beta[sizes, np.arange(len(sizes))] = 1.0
-            by_start = np.lexsort((w, -s))
-            starts = np.searchsorted(-s[by_start], -np.arange(alpha.shape[0]), "left"), np.searchsorted(-s[by_start], -np.arange(alpha.shape[0]), "right")
-            for j in range(alpha.shape[0] - 1, -1, -1):
-                part = by_start[starts[0][j] : starts[1][j]]
-                _add(beta[j], w[part], beta[e[part], w[part]] * model.prob[p[part]])
-            z = np.maximum(alpha[sizes, np.arange(len(sizes))], 1e-300)
-            share = alpha[s, w] * model.prob[p] * beta[e, w] / z[w] * c[b][w]
+            share = model.posterior(lat) * c[b][lat[0]]
             for k in range(len(langs)):
-                expected[:, k] += np.bincount(p, weights=share[:, k], minlength=unk + 1)
+                expected[:, k] += np.bincount(lat[3], weights=share[:, k], minlength=unk + 1)
         expected[unk] = 0
         prob = expected / expected.sum(axis=0)
         prob[unk] = UNKNOWN
@@ -252,8 +271,8 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", passed: list
     passed = docs.columns if passed is None else passed
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)])
-    kinds = [docs.schema[c].dataType.simpleString() for c in passed]
-    out = narrow.mapInArrow(_predict(shared, len(passed)), ", ".join([*(f"c{i} {t}" for i, t in enumerate(kinds)), "lang_pred string", "score double"]))
+    schema = T.StructType([*narrow.schema.fields[1:], *T.StructType.fromDDL("lang_pred string, score double").fields])
+    out = narrow.mapInArrow(_predict(shared, len(passed)), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
