@@ -26,7 +26,9 @@ from tessera.llm import common as C
 
 #: Content gathered before a frame is closed, and before a bundle is; level of compression.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
-INDEX = "record_id long, bundle string, frame long, frame_start long, frame_bytes long, at long, length long"
+INDEX = "record_id long, bundle string, frame long, frame_start long, frame_bytes long, frame_content long, at long, length long"
+#: The seek table has 32 bits for a frame's sizes; with a record of up to 2 GiB on top, a frame stays below 4 GiB.
+MOST_FRAME_BYTES = 1 << 30
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
 
@@ -72,6 +74,8 @@ class Bundle:
     def __init__(self, sink, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
         import zstandard
 
+        if not 0 < frame_bytes <= MOST_FRAME_BYTES:
+            raise ValueError(f"a frame holds up to {MOST_FRAME_BYTES} bytes")
         self.sink, self.limit, self.codec = sink, frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.held: list[bytes] = []
         self.size = self.start = self.content = 0
@@ -140,7 +144,7 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
         fs.create_dir(root, recursive=True)
         tag, number, bundle, rows = f"{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, []
         names = [f.split()[0] for f in INDEX.split(", ")]
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6]
 
         def finish():
             nonlocal bundle, number
@@ -150,7 +154,7 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int):
             starts = [0]
             for c, _ in bundle.table:
                 starts.append(starts[-1] + c)
-            out = [(i, f"{folder}/{name}", f, starts[f], bundle.table[f][0], at, n) for i, f, at, n in rows]
+            out = [(i, f"{folder}/{name}", f, starts[f], *bundle.table[f], at, n) for i, f, at, n in rows]
             rows.clear()
             bundle, number = None, number + 1
             return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -176,26 +180,32 @@ def _read(batches):
     """mapInArrow over (bundle, frame, frame_start, frame_bytes): every record of each frame."""
     import zstandard
 
-    opened: tuple = ("", None)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "block_digest", "bundle", "frame", "at"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     codec = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for uri, frame, start, size in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-            if opened[0] != uri:
-                fs, path = filesystem(uri)
-                opened = (uri, fs.open_input_file(path))
-            opened[1].seek(start)
-            raw, at, out = codec.decompress(opened[1].read(size)), 0, []
-            while at < len(raw):
-                head = raw.index(b"\r\n\r\n", at) + 4
-                length = int(raw[at:head].rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
-                fields, block = parse(raw[at : head + length + 4])
-                ref = fields.get("WARC-Refers-To")
-                ident = fields["WARC-Record-ID"][10:-1]
-                out.append((None if ident == "None" else int(ident), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(ref[10:-1]) if ref else None, block, digest(block) if ref is None else None, uri, frame, at))
-                at = head + length + 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)  # a frame at a time
+    uri, source = "", None
+    try:
+        for batch in batches:
+            for wanted, frame, start, size in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if uri != wanted:
+                    if source is not None:
+                        source.close()
+                    fs, path = filesystem(wanted)
+                    uri, source = wanted, fs.open_input_file(path)
+                source.seek(start)
+                raw, at, out = codec.decompress(source.read(size)), 0, []
+                while at < len(raw):
+                    head = raw.index(b"\r\n\r\n", at) + 4
+                    length = int(raw[at:head].rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
+                    fields, block = parse(raw[at : head + length + 4])
+                    ref = fields.get("WARC-Refers-To")
+                    ident = fields["WARC-Record-ID"][10:-1]
+                    out.append((None if ident == "None" else int(ident), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(ref[10:-1]) if ref else None, block, digest(block) if ref is None else None, uri, frame, at))
+                    at = head + length + 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)  # a frame at a time
+    finally:
+        if source is not None:
+            source.close()
 
 
 def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -220,12 +230,22 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     return spark.read.parquet(f"{folder}/index")
 
 
-def read(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, frame by frame."""
-    C.ship(index.sparkSession)
-    frames = index.select("bundle", "frame", "frame_start", "frame_bytes").distinct()
+def read(index: DataFrame, task_bytes: int | None = None) -> DataFrame:
+    """All records of the bundles that an index names, frame by frame.
+
+    A frame's first record stands for it, so the frames cost no aggregate.  They are dealt in the order of bundles to
+    tasks of about ``task_bytes`` of content (by default what a task reads of other files,
+    ``spark.sql.files.maxPartitionBytes``), so a task opens few bundles and the number of tasks grows with the content.
+    """
+    spark = index.sparkSession
+    C.ship(spark)
+    frames = index.where("at = 0").select("bundle", "frame", "frame_start", "frame_bytes", "frame_content")
+    if task_bytes is None:
+        task_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    total = frames.agg(F.sum("frame_content").alias("n")).first()["n"] or 0
+    frames = frames.repartitionByRange(-(-total // task_bytes) or 1, "bundle", "frame").sortWithinPartitions("bundle", "frame")
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, block_digest string, bundle string, frame long, at long"
-    return frames.mapInArrow(_read, kinds)
+    return frames.drop("frame_content").mapInArrow(_read, kinds)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
