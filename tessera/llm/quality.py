@@ -12,16 +12,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: name -> condition over the measurements that holds where a document fails; a rule's bit is its position.
-RULES: dict[str, str] = {
-    "short": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "upper_case": "10 * n_upper > 4 * n_letters",
-    "duplicate_lines": "10 * n_dup_lines > 5 * n_lines",
-    "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "few_letters": "2 * n_letters < word_chars",
+#: name -> (bit, condition over the measurements that holds where a document fails).  Stored ledgers keep their meaning:
+#: a rule's bit never changes and is never used again; new rules take new bits.
+RULES: dict[str, tuple[int, str]] = {
+    "short": (0, "n_words < 50"),
+    "repeated_words": (1, "100 * n_repeat_words > 50 * n_words"),
+    "symbols": (2, "10 * n_symbols > n_words"),
+    "upper_case": (3, "10 * n_upper > 4 * n_letters"),
+    "duplicate_lines": (4, "10 * n_dup_lines > 5 * n_lines"),
+    "short_words": (5, "word_chars < 2 * n_words"),
+    "long_words": (6, "word_chars > 20 * n_words"),
+    "few_letters": (7, "2 * n_letters < word_chars"),
 }
 
 
@@ -35,7 +36,7 @@ class Policy:
 
     @property
     def mask(self) -> int:
-        return sum(1 << list(RULES).index(r) for r in self.rules)
+        return sum(1 << RULES[r][0] for r in self.rules)
 
 
 #: What the base contract asks for.
@@ -85,7 +86,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     empty table gives no rows; extra columns are ignored; very long texts are measured whole.
     """
     m = measure(docs, id_col, text_col)
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
+    bits = [F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, rule in RULES.values()]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
@@ -100,12 +101,13 @@ def apply_policy(marked: DataFrame, policy: Policy, out: str = "kept") -> DataFr
 def ablations(marked: DataFrame, policy: Policy) -> DataFrame:
     """Per rule of the policy: documents that fail it, and those it alone removes.  One pass over masks.
 
-    Documents are first counted by mask, of which there are at most ``2 ** rules``.
+    Documents are first counted by mask, of which there are at most ``2 ** rules``.  Repeated rows count each; an empty
+    ledger gives zeros.
     """
     by_mask = marked.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("m")).agg(F.count("*").alias("n"))
     aggs = []
     for r in policy.rules:
-        bit = 1 << list(RULES).index(r)
+        bit = 1 << RULES[r][0]
         aggs += [
             F.coalesce(F.sum(F.when(F.col("m").bitwiseAND(F.lit(bit)) != 0, F.col("n"))), F.lit(0)).alias(f"f_{r}"),
             F.coalesce(F.sum(F.when(F.col("m") == bit, F.col("n"))), F.lit(0)).alias(f"a_{r}"),

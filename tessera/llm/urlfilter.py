@@ -24,7 +24,7 @@ RULES: list[tuple[str, str, str]] = [
 DAMPING, TAU = 0.85, 1.0
 #: Both in mean shares of a seed, so that they don't depend on the crawl's size: the sum of changes at which scores count
 #: as settled (what is left then adds up to DAMPING / (1 - DAMPING) of it at most), and the least distrust that blocks.
-TOLERANCE, FLOOR = 1e-9, 1e-9
+TOLERANCE, FLOOR = 1e-6, 1e-6
 
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,17 +60,17 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank (host, score) along edges (src, dst, weight) from seeds (host, share).
 
-    Without any edges scores stay at the seeds.  ``rest`` is what a round adds; it is passed on until it sums to
-    ``tolerance`` or less.  Its sum shrinks by ``damping`` at least, so the rounds end.  Each round is one aggregate by
-    target, written to the shared folder; the round before is deleted.
+    What a host without links holds goes back to the seeds.  That only scales all scores, so it is left out of the rounds
+    and made up for at the end, where scores are divided by their sum: they sum to 1, and without any edges they are
+    the seeds' shares.  ``rest`` is what a round adds; it is passed on until it sums to ``tolerance`` of the seeds' or
+    less.  Its sum shrinks by ``damping`` at least, so the rounds end.  Each round is one aggregate by target, written
+    to the shared folder; the round before is deleted.
     """
     spark = edges.sparkSession
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = C.settle(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "edges")
-    if share.isEmpty():
-        return C.settle(seeds.select("host", F.col("share").alias("score")), "scores")
     first = (F.col("share") * (1 - damping)).cast("double")
-    state, before = seeds.select("host", first.alias("score"), first.alias("rest")), None
+    state, before, most = seeds.select("host", first.alias("score"), first.alias("rest")), None, None
     while True:
         path = C.shared_path(spark, "scores")
         state.write.option("compression", "zstd").parquet(path)
@@ -78,8 +78,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE,
         if before is not None:
             C.drop_path(spark, before)
         before = path
-        if (state.agg(F.sum("rest").alias("r")).first()["r"] or 0.0) <= tolerance:
-            return state.select("host", "score")
+        sums = state.agg(F.sum("rest").alias("rest"), F.sum("score").alias("score")).first()
+        most = tolerance * (sums["rest"] or 0.0) if most is None else most
+        if (sums["rest"] or 0.0) <= most:
+            return state.select("host", (F.col("score") / F.lit(sums["score"] or 1.0)).alias("score"))
         flow = state.where("rest > 0").join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rest") * F.col("p") * damping).alias("score"))
         parts = flow.withColumn("rest", F.col("score")).unionByName(state.select("host", "score", F.lit(0.0).alias("rest")))
         state = parts.groupBy("host").agg(F.sum("score").alias("score"), F.sum("rest").alias("rest"))
@@ -97,9 +99,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *,
     p = p.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), "html")
     rule, verdict = _rule_of(RULES if rules is None else rules)
     named = p.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
-    counts = named.where("host != ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
+    counts = named.where("host != ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"), F.count("*").alias("k"))
     counts = C.settle(counts, "hosts")
-    total = counts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count_if(F.col("good") > 0).alias("trusted"), F.count_if(F.col("bad") > 0).alias("blocked")).first()
+    total = counts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.count_if(F.col("good") > 0).alias("trusted"), F.count_if(F.col("bad") > 0).alias("blocked"), F.sum("k").alias("k")).first()
     edges = C.settle(host_edges(p), "links")
 
     def seeds(column: str, n: int | None) -> DataFrame:
@@ -110,5 +112,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, *,
     distrust = propagate(back, seeds("bad", total["b"]), tolerance / (total["blocked"] or 1))
     hosts = counts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     hosts = hosts.withColumn("host_verdict", F.when((F.col("distrust") > floor / (total["blocked"] or 1)) & (F.col("distrust") > tau * F.col("trust")), "block").otherwise("allow"))
-    out = named.join(hosts, "host", "left")
+    hosts = hosts.select("host", "host_verdict", "trust", "distrust")
+    out = C.salted_join(named, hosts, ["host"], C.heavy(counts.select("host", "k"), total["k"] or 0), by="path", how="left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "host_verdict", F.lit("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
