@@ -1,9 +1,10 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tags and words.  Words score by the container they stand in, tags by their name; the weights
-are log-odds of lying in the content, counted on labelled pages.  The contiguous run with the largest sum is the
-content region (one linear scan); within it, text of containers that the labelled pages never have in content is left
-out.
+A page is a sequence of tags and blocks of words.  The words of a block score by its shape (element, length, share of
+links, punctuation) and its surroundings (the nearest class, id, role or element name that tells content from the
+rest); tags score by their name, never above zero.  All weights, and what names tell, are fitted on labelled pages:
+logistic regression over blocks, log-odds of tags.  The contiguous run with the largest sum is the content region (one
+linear scan); of it, text under a name that tells against content is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ INLINE = frozenset("a abbr b bdi bdo big cite code dfn em font i ins kbd mark q
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that can hold a page's parts.
 CONTAINERS = frozenset("head body nav header footer aside form article main section div ul ol table figure dialog menu blockquote".split())
+#: Elements that are the content where a page has them.
+CONTENT = frozenset(("article", "main"))
+#: Class names with one of these words describe the page, not a part of it.
+WRAPPERS = frozenset("page wrap wrapper container layout site body has with no without".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -51,161 +57,289 @@ def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
     return len(page)
 
 
-def pieces(page: str):
-    """The page as ('tag', name or /name, container, 0, part) and ('text', decoded text, container, in link, part).
+class Block:
+    """A run of text between block-level tags: the pieces of text, counts of words and linked words, and where it stands."""
 
-    A container is the word that describes the innermost part: an element's telling class, id or role, else its name.
-    ``part`` numbers the outermost content container around, 0 for none.
+    __slots__ = ("at", "tag", "names", "content", "form", "parts", "words", "linked")
+
+    def __init__(self, at: int, tag: str, names: tuple[str, ...], content: bool, form: bool):
+        self.at, self.tag, self.names, self.content, self.form = at, tag, names, content, form
+        self.parts: list[str] = []
+        self.words = self.linked = 0
+
+
+def parse(page: str) -> list[tuple[str, bool] | Block]:
+    """The page as block-level tags (name or /name, whether in content) and blocks of text, in order.
+
+    A block's names are those of the elements around it that have any, the nearest last.  A closing tag without an open
+    element is passed over; which elements are open is counted by name, so no tag makes the stack be searched in vain.
     """
-    stack: list[tuple[str, str, int]] = []
-    links = at = count = 0
+    stack: list[tuple[str, int, bool, bool]] = []  # element, its names begin at, in content, in a form
+    names: list[tuple[str, ...]] = []
+    is_open: Counter = Counter()
+    out: list[tuple[str, bool] | Block] = []
+    block: Block | None = None
+    tag, linked, at = "body", 0, 0
     last = {q: page.rfind(q) for q in "\"'"}
 
-    def where() -> str:
-        return stack[-1][1] if stack else "body"
-
-    def inside() -> int:
-        return stack[-1][2] if stack else 0
+    def text(start: int, end: int) -> None:
+        nonlocal block
+        value = htmllib.unescape(page[start:end])
+        if block is None:
+            if not value.strip():
+                return
+            block = Block(start, tag, names[-1] if names else (), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3])
+            out.append(block)
+        block.parts.append(value)
+        n = len(value.split())
+        block.words += n
+        block.linked += n * linked
 
     while at < len(page):
         m = TAG.search(page, at)
         if m is None:
-            yield "text", htmllib.unescape(page[at:]), where(), links, inside()
-            return
+            text(at, len(page))
+            break
         if m.start() > at:
-            yield "text", htmllib.unescape(page[at : m.start()]), where(), links, inside()
+            text(at, m.start())
         if m.group() == "<!--":
             end = page.find("-->", m.end())
             at = end + 3 if end >= 0 else len(page)
             continue
         at = _tag_end(page, m.end(), last)
-        tag = page[m.start() : at]
-        n = NAME.match(tag)
+        whole = page[m.start() : at]
+        n = NAME.match(whole)
         if n is None:
             continue
         close, name = n[1], n[2].lower()
+        if name in INLINE:
+            if name == "a":
+                linked = 0 if close else 1
+            continue
+        block, tag = None, "body" if close else name
         if name in RAW and not close:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
-            yield "tag", name, where(), 0, inside()
+            out.append((name, bool(stack) and stack[-1][2]))
             continue
-        if name == "a":
-            links = 0 if close else 1
+        if close:
+            out.append(("/" + name, bool(stack) and stack[-1][2]))
         if name in CONTAINERS:
-            if close:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+            if close and is_open[name]:
+                while True:
+                    gone = stack.pop()
+                    names.pop()
+                    is_open[gone[0]] -= 1
+                    if gone[0] == name:
                         break
-            elif name not in VOID:
-                outer = where()
-                word = _part(name, tag, outer)
-                if not inside() and word in _GOOD:
-                    count += 1
-                    stack.append((name, word, count))
-                else:
-                    stack.append((name, word, inside()))
-        yield "tag", close + name, where(), 0, inside()
+            elif not close:
+                outer = stack[-1] if stack else ("", 0, False, False)
+                is_open[name] += 1
+                stack.append((name, 0, outer[2] or name in CONTENT, outer[3] or name == "form"))
+                names.append((*(names[-1] if names else ())[-DEPTH:], *_names(name, whole, outer[2])))
+        if not close:
+            out.append((name, bool(stack) and stack[-1][2]))
+    return out
 
 
-def _part(name: str, tag: str, outer: str) -> str:
-    """The word for a container; plain wrappers take their surroundings' word."""
-    weights = vocabulary()
-    marks = [] if name == "body" else [w for m in ATTRIBUTE.finditer(tag) if MARK.search(m[1]) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w in weights]
-    if marks:
-        return min(marks, key=weights.__getitem__)  # a telling word against the part counts more
-    if outer in weights and outer != "body" and weights[outer] < 0:
-        return outer  # inside a left-out part all is left out
-    return name if name not in ("div", "section", "ul", "ol", "table", "figure", "blockquote", "body") else outer
+#: Names around a block that are looked at, the nearest ones.
+DEPTH = 16
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
-#: Words in class, id and role that the labelled pages use, by side.
-_GOOD = ("article", "main", "content", "post", "entry", "story", "text")
-_BAD = ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "promo", "sidebar", "menu", "navbar", "navigation", "breadcrumb", "cookie", "notice", "consent", "newsletter", "subscribe", "comments", "comment", "share", "social", "related", "widget", "login", "search", "footer", "header", "masthead", "copyright", "popup", "modal")
+def _names(element: str, tag: str, in_content: bool) -> tuple[str, ...]:
+    """What an element is called: the words of its class, id and role, and its own name unless that says nothing.
 
+    Names of the whole page (of ``body`` and ``main``, or with a word like *layout*) are passed over, and so is a header
+    inside the content, which has the title.
+    """
+    own = () if element in ("div", "section", "ul", "ol", "table", "figure", "blockquote", "body", "form") or (element == "header" and in_content) else (element,)
+    if element in ("body", "main"):
+        return own
+    marks = []
+    for m in ATTRIBUTE.finditer(tag):
+        if MARK.search(m[1]):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                words = [w for w in re.split(r"[^a-z]+", name) if w]
+                if not WRAPPERS.intersection(words):
+                    marks += words
+    return (*own, *marks)
+
+
+def features(page: list[tuple[str, bool] | Block], told: dict[str, float]) -> list[tuple[Block, list[str]]]:
+    """Each block with its features, the last one what names tell; ``told`` has the names that tell, above zero for content.
+
+    Where a page has content elements, a block's shape says nothing.  A form around half of the page's words or more is
+    the page, and not a part of it.
+    """
+    blocks = [b for b in page if isinstance(b, Block)]
+    total = sum(b.words for b in blocks)
+    whole_form = 2 * sum(b.words for b in blocks if b.form) >= total
+    has_content = any(b.content for b in blocks)
+    out = []
+    for b in blocks:
+        share = b.linked / max(b.words, 1)
+        links = "links " + ("none" if share == 0 else "some" if share < 0.5 else "most")
+        if has_content:
+            f = ["inside" if b.content else "outside"]
+        else:
+            end = b.parts[-1].rstrip()[-1:]
+            f = ["one", links, "tag " + (b.tag if b.tag in SHAPES else "other"), f"words {min(int(math.log2(max(b.words, 1))), 6)}", "ends" if end and end in ".!?:;\u2026\u3002" else "open"]
+        f.append("name " + side(b, told, whole_form))
+        out.append((b, f))
+    return out
 
-@functools.cache
-def vocabulary() -> dict[str, int]:
-    """Side of each describing word: 1 content, -1 not."""
-    return {**dict.fromkeys(_GOOD, 1), **dict.fromkeys(_BAD, -1), **dict.fromkeys(("nav", "header", "footer", "aside", "form", "head", "menu", "dialog"), -1), "article": 1, "main": 1}
+
+SHAPES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dd dt pre label legend body div br".split())
 
 
-def labelled_pages(n: int = 60, seed: int = 5) -> list[list[tuple[str, str, int]]]:
-    """Generated pages as token lists (kind, word or tag, in content) in the layouts of common page templates."""
+def side(b: Block, told: dict[str, float], whole_form: bool) -> str:
+    """What the names around a block tell: *not* if any within the content, or the nearest telling one, says so."""
+    if b.form and not whole_form:
+        return "not"
+    known = [told[n] for n in b.names if n in told]
+    if any(v < 0 for v in known):  # inside a left-out part all is left out
+        return "not"
+    return "content" if known else "nothing"
+
+
+# --- labelled pages -------------------------------------------------------------------------------------------
+
+
+def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Generated pages with the ranges of their content, in layouts of common page templates.
+
+    A third of the pages have telling names, a third names that say nothing, a third no names but of elements.
+    """
     r = random.Random(seed)
+    good = ["article", "content", "post", "entry", "story", "text"]
+    bad = ["ad", "ads", "advert", "advertisement", "banner", "sponsor", "promo", "sidebar", "menu", "navbar", "navigation", "breadcrumb", "cookie", "notice", "consent", "newsletter", "subscribe", "comments", "comment", "share", "social", "related", "widget", "login", "search", "footer", "header", "masthead", "copyright", "popup", "modal"]
+    element = {"footer": "footer", "header": "header", "masthead": "header", "menu": "nav", "navbar": "nav", "navigation": "nav", "sidebar": "aside", "related": "aside", "login": "form", "search": "form", "newsletter": "form"}
+
+    def text(k: int) -> str:
+        return " ".join("".join(r.choice(("an", "er", "on", "re", "ti", "la")) for _ in range(r.randint(1, 3))) for _ in range(k))
+
     out = []
-    for _ in range(n):
-        page: list[tuple[str, str, int]] = []
-
-        def part(word: str, tag: str, content: int, blocks: int, words: tuple[int, int], inner: str, page=page) -> None:
-            page.append(("tag", tag, content))
-            for _ in range(blocks):
-                page.append(("tag", inner, content))
-                page.extend([("word", word, content)] * r.randint(*words))
-                page.append(("tag", "/" + inner, content))
-            page.append(("tag", "/" + tag, content))
-
-        part("head", "head", 0, 1, (3, 10), "title")
-        for word, tag, inner in r.sample([("nav", "nav", "li"), ("header", "header", "p"), ("menu", "div", "li"), ("ad", "div", "p"), ("cookie", "div", "p"), ("search", "form", "input"), ("breadcrumb", "ul", "li")], 4):
-            part(word, tag, 0, r.randint(1, 6), (1, 8), inner)
-        good = r.choice(_GOOD)
-        part(good, "article" if good == "article" else r.choice(["main", "div", "section"]), 1, r.randint(3, 20), (15, 90), "p")
-        for word in r.sample(_BAD, 3):
-            part(word, r.choice(["div", "aside", "section"]), 0, r.randint(1, 5), (2, 25), "p")
-        part("footer", "footer", 0, 1, (5, 20), "p")
-        out.append(page)
+    for i in range(n):
+        style = ("names", "codes", "bare")[i % 3]
+        parts: list[tuple[str, bool]] = []
+
+        def attr(name: str, style=style) -> str:
+            if style == "codes":
+                return f' class="css-{r.choice("abcdefghk")}{r.randrange(99)}"'
+            return f' class="{r.choice(["", "c-", "main-"])}{name}"' if style == "names" else ""
+
+        def boiler(name: str, style=style) -> str:
+            tag = element.get(name, "div") if r.random() < 0.7 else "div"
+            kind = r.random()
+            if name in ("menu", "navbar", "navigation", "breadcrumb", "related", "social", "share", "sidebar") and kind < 0.8:
+                inner = "<ul>" + "".join(f'<li><a href="/{text(1)}">{text(r.randint(1, 4))}</a></li>' for _ in range(r.randint(2, 9))) + "</ul>"
+            elif tag == "form":
+                inner = "".join(f"<label>{text(r.randint(1, 3))}</label><input>" for _ in range(r.randint(1, 4))) + (f"<p>{text(r.randint(2, 12))}</p>" if kind < 0.5 else "")
+            elif name in ("comments", "comment"):
+                inner = "".join(f"<p>{text(r.randint(2, 30))}.</p>" for _ in range(r.randint(1, 5)))
+            else:
+                inner = "".join(r.choice([f"<p>{text(r.randint(2, 14))}.</p>", text(r.randint(2, 9)), f'<p><a href="/x">{text(r.randint(1, 4))}</a> {text(2)}</p>']) for _ in range(r.randint(1, 3)))
+            return f"<{tag}{attr(name)}>{inner}</{tag}>"
+
+        for name in r.sample(["navigation", "menu", "header", "masthead", "ad", "cookie", "search", "breadcrumb", "banner"], r.randint(2, 4)):
+            parts.append((boiler(name), False))
+        holder = r.choice(["article", "main"]) if r.random() < (0.5 if style != "codes" else 0.2) else "div"
+        parts.append((f"<{holder}{attr(r.choice(good))}>", True))
+        if r.random() < 0.8:
+            parts.append((f"<h1>{text(r.randint(2, 12))}</h1>", True))
+        for _ in range(r.randint(2, 14)):
+            parts.append((r.choice([f"<p>{text(r.randint(12, 90))}.</p>"] * 8 + [f"<h2>{text(r.randint(1, 6))}</h2>", f"<p>{text(r.randint(1, 8))}.</p>", f"<ul><li>{text(r.randint(1, 12))}</li><li>{text(r.randint(3, 12))}</li></ul>", f'<p>{text(20)} <a href="/">{text(3)}</a> {text(9)}.</p>']), True))
+            if r.random() < 0.06:
+                parts.append((boiler(r.choice(["ad", "newsletter", "related", "share"])), False))
+        parts.append((f"</{holder}>", True))
+        for name in r.sample(bad, r.randint(1, 4)):
+            parts.append((boiler(name), False))
+        parts.append((f"<footer{attr('footer')}>&copy; {text(r.randint(2, 12))}</footer>" if r.random() < 0.6 else f"<div{attr('copyright')}><p>&copy; 2020 {text(r.randint(2, 12))}.</p></div>", False))
+        wrap = ("<form>", "</form>") if i % 10 == 9 else ("", "")
+        page, ranges = f"<html><head><title>{text(4)}</title></head><body>{wrap[0]}", []
+        for x, inside in parts:
+            if inside:
+                ranges.append((len(page), len(page) + len(x)))
+            page += x
+        out.append((page + wrap[1] + "</body></html>", ranges))
     return out
 
 
 @functools.cache
-def weights() -> tuple[dict[str, float], dict[str, float]]:
-    """Log-odds of words by container and of tags by name, from the labelled pages; tags never score above -0.1."""
-    inside, outside = (Counter(), Counter()), (Counter(), Counter())
-    for page in labelled_pages():
-        for kind, name, content in page:
-            (inside if content else outside)[kind == "tag"][name] += 1
-    total = [sum(c.values()) + 1.0 for c in (inside[0], outside[0], inside[1], outside[1])]
-
-    def odds(name: str, k: int) -> float:
-        return math.log((inside[k][name] + 0.5) / total[2 * k]) - math.log((outside[k][name] + 0.5) / total[2 * k + 1])
+def weights() -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """From the labelled pages: what names tell (log-odds), weights of blocks' features, weights of tags (below zero).
 
-    words = {w: max(-6.0, min(1.0, odds(w, 0))) for w in {*inside[0], *outside[0], *vocabulary()}}
-    for w, side in vocabulary().items():
-        words[w] = min(words[w], -1.0) if side < 0 else max(words[w], 0.5)
-    tags = {t: max(-6.0, min(-0.1, odds(t, 1))) for t in {*inside[1], *outside[1]}}
-    return words, tags
+    A name tells if it stands around four blocks or more, nine in ten of them in the content, or outside.
+    """
+    pages = []
+    for page, ranges in labelled_pages():
+        tokens, inside = parse(page), set()
+        for a, b in ranges:
+            inside.update(x.at for x in tokens if isinstance(x, Block) and a <= x.at < b)
+        pages.append((tokens, inside))
+    around, tags = (Counter(), Counter()), (Counter(), Counter())
+    for tokens, inside in pages:
+        before, waiting = False, []  # a closing tag belongs to the block before, an opening one to the next
+        for x in tokens:
+            if isinstance(x, Block):
+                before = x.at in inside
+                around[before].update(set(x.names))
+                tags[before].update(waiting)
+                waiting = []
+            elif x[0][0] == "/":
+                tags[before][x[0]] += 1
+            else:
+                waiting.append(x[0])
+    told = {}
+    for name in {*around[0], *around[1]}:
+        no, yes = around[0][name], around[1][name]
+        if yes + no >= 4 and (yes >= 9 * no or no >= 9 * yes):
+            told[name] = math.log((yes + 0.5) / (no + 0.5))
+    sums = [sum(c.values()) + 1.0 for c in tags]
+    tag_w = {t: max(-3.0, min(-0.1, math.log((tags[1][t] + 0.5) / sums[1]) - math.log((tags[0][t] + 0.5) / sums[0]))) for t in {*tags[0], *tags[1]}}
+    rows = [(f, float(b.at in inside)) for tokens, inside in pages for b, f in features(tokens, told)]
+    columns = {f: k for k, f in enumerate(sorted({x for f, _ in rows for x in f}))}
+    x, y = np.zeros((len(rows), len(columns))), np.array([v for _, v in rows])
+    for i, (f, _) in enumerate(rows):
+        x[i, [columns[k] for k in f]] = 1.0
+    w = np.zeros(len(columns))
+    for _ in range(30):  # Newton's method, with a small penalty
+        q = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (q - y) + 0.1 * w)
+    return told, dict(zip(columns, w.tolist(), strict=True)), tag_w
+
+
+def score(x: tuple[str, bool] | Block, feature: dict[int, list[str]]) -> float:
+    """What a tag or a block adds to a run; tags in a content element only a little, whatever their name."""
+    _, word_w, tag_w = weights()
+    if not isinstance(x, Block):
+        return -0.1 if x[1] else tag_w.get(x[0], -0.1)
+    f = feature[id(x)]
+    if f[-1] == "name not" and x.content:
+        return 0.0  # left out anyway, so it must not part the content
+    return x.words * max(-4.0, min(2.0, sum(word_w.get(k, 0.0) for k in f)))
 
 
 def main_text(page: str) -> str:
-    """The content's text; empty if no run of tokens scores above zero."""
-    word_w, tag_w = weights()
-    parts = list(pieces(page))
-    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, place, link, _) in enumerate(parts):
-        if kind == "tag":
-            s = tag_w.get(value, -0.1) if value.removeprefix("/") not in INLINE else -0.1
-        else:
-            n = len(value.split())
-            w = word_w.get(place, 1.0 if place in ("body", "p") else 0.5)
-            s = n * (w if not link or w < 0 else w - 0.75)
+    """The content's text.
+
+    A page in which no run of tokens scores above zero is content whole, but for what names tell against and for links;
+    empty if nothing is left.
+    """
+    tokens = parse(page)
+    feature = {id(b): f for b, f in features(tokens, weights()[0])}
+    best, best_at, run, start = 0.0, None, 0.0, 0
+    for i, x in enumerate(tokens):
         if run <= 0:
             run, start = 0.0, i
-        run += s
+        run += score(x, feature)
         if run > best:
             best, best_at = run, (start, i + 1)
-    # a content container that the region touches belongs to it whole
-    touched = {x[4] for x in parts[slice(*best_at)] if x[0] == "text" and x[4]}
-    if touched:
-        at = [i for i, x in enumerate(parts) if x[4] in touched]
-        best_at = min(best_at[0], at[0]), max(best_at[1], at[-1] + 1)
-    text: list[str] = []
-    for kind, value, place, _, _ in parts[slice(*best_at)]:
-        if kind == "text":
-            if word_w.get(place, 0.5) > 0:
-                text.append(value)
-        elif value.removeprefix("/") not in INLINE:
-            text.append(" ")
-    return _SPACE.sub(" ", "".join(text)).strip()
+    blocks = [x for x in (tokens[slice(*best_at)] if best_at else tokens) if isinstance(x, Block) and feature[id(x)][-1] != "name not"]
+    if best_at is None:
+        blocks = [] if any(b.content for b in blocks) else [b for b in blocks if not b.linked]
+    return _SPACE.sub(" ", " ".join("".join(x.parts) for x in blocks)).strip()
 
 
 def _extract(batches):
@@ -218,7 +352,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, text and n_chars of every page.
 
     Null and empty pages, and pages without content, have empty text.  Ids and urls may be null or repeat and are
-    passed on.  A very long page is one linear scan.  An empty table gives no rows; extra columns are ignored.
+    passed on, repeated pages give equal rows.  A very long page is read and scanned once.  An empty table gives no rows; extra columns are ignored.
     """
     C.ship(pages.sparkSession)
     narrow = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
