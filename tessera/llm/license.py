@@ -1,18 +1,23 @@
 """Licence scan by canonical digests of entire texts.
 
-A text is brought to a canonical form (lower case, equivalent spellings, no copyright lines, no punctuation, single
-spaces) and its digest is looked up among the digests of known licences and notices by a hash join.  Both the whole
-document and each of its lines are looked up.  DataFrame functions throughout; the known texts are the notices of
-``KNOWN`` and the full licences of the folder ``licences``, unless a table of others is given.
+A text is brought to a canonical form (lower case, equivalent spellings, no copyright lines, no punctuation of any kind,
+single spaces).  Digests of forms are joined with those of known licences and notices: the digest of the whole document,
+of each of its lines, and of each run of words as long as a known full text that begins with the same words, so that a
+licence inside a longer document is found.  What can't be known by its length is not looked up.  The known texts are the
+notices of ``KNOWN`` and the full licences of the folder ``licences``, unless a table of others is given.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import itertools
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -67,14 +72,52 @@ SPELLINGS: list[tuple[str, str]] = [
 ]
 
 
-def canonical(column: str) -> str:
-    """SQL for the canonical form of a text: understood alike by Spark and DuckDB but for the escapes (see ``oracle``)."""
-    sql = f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    sql = rf"regexp_replace({sql}, '(^|\n)[ \t]*(copyright|\\(c\\)|©)[^\n]*', '$1')".replace("\\n", "\\\\n").replace("\\t", "\\\\t").replace("\\\\\\\\(", "\\\\(")
-    sql = f"concat(' ', trim(regexp_replace({sql}, '[^a-z0-9\\\\u0080-\\\\uffff]+', ' ')), ' ')"
+_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_COPYRIGHT = re.compile(r"[ \t]*(?:copyright|\(c\)|©)")
+_OTHER = re.compile(r"[^\w]+")
+#: Known texts of so many words or more are looked for inside documents too, by their first ``ANCHOR`` words.
+FULL_WORDS, ANCHOR = 30, 8
+#: Known texts whose beginnings are sent to executors at once; a table of more goes in blocks, a pass over the documents each.
+BLOCK = 1_000_000
+
+
+def _spelled(form: str) -> str:
+    form = f" {form} "
     for a, b in SPELLINGS:
-        sql = f"replace({sql}, ' {a} ', ' {b} ')"
-    return f"trim({sql})"
+        form = form.replace(f" {a} ", f" {b} ")
+    return form.strip()
+
+
+def canonical_lines(text: str) -> list[str]:
+    """The lines' words before spellings are changed; lines with a copyright notice are empty."""
+    low = text.encode("utf-8", "surrogatepass").translate(_AZ).decode("utf-8", "surrogatepass")
+    return ["" if _COPYRIGHT.match(x) else _OTHER.sub(" ", x.replace("_", " ")).strip() for x in low.split("\n")]
+
+
+def canonical(text: str) -> str:
+    """The canonical form: what is neither letter nor number parts words."""
+    return _spelled(" ".join(x for x in canonical_lines(text) if x))
+
+
+def digest(form: str) -> str:
+    return hashlib.sha256(form.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ANCHOR words."""
+    m = len(words) - ANCHOR + 1
+    out = words[: max(m, 0)].copy()
+    for j in range(1, ANCHOR):
+        out = C.mix64(out) + words[j : j + max(m, 0)]
+    return C.mix64(out)
+
+
+def describe(text: str) -> tuple[str, int, int | None, int]:
+    """Digest, length of the form, hash of its first words (none for short texts), number of words."""
+    form = canonical(text)
+    words, upto = C.word_hashes(*C.block_of([form.encode("utf-8", "surrogatepass")]), C.SPACE_BYTES)
+    n = int(upto[0])
+    return digest(form), len(form), int(_grams(words)[0].view(np.int64)) if n >= FULL_WORDS else None, n
 
 
 def _forms(license_id: str, text: str) -> set[str]:
@@ -99,46 +142,108 @@ def known_texts() -> list[tuple[str, str, str]]:
     return [*KNOWN, *[(i, "license", form) for i, t in full for form in sorted(_forms(i, t))]]
 
 
+KNOWN_TEXT = "license_id string, digest string, length long, anchor long, words long"
+
+
+@functools.cache
+def _built_in() -> list[tuple]:
+    rows = {}
+    for i, _, t in known_texts():
+        d = describe(t)
+        rows[d[0]] = min(rows.get(d[0], (i, *d)), (i, *d))
+    return sorted(rows.values())
+
+
+def _describe(batches):
+    for batch in batches:
+        rows = [(i, *describe(t or "")) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["license_id", "digest", "length", "anchor", "words"])
+
+
 def digests(known: DataFrame) -> DataFrame:
-    """(digest, license_id, length of the canonical form) of a table (license_id, text), a row per digest; no empty forms."""
-    d = known.select(F.col("license_id").cast("string"), F.expr(canonical("CAST(text AS STRING)")).alias("form")).where("form != '' AND license_id IS NOT NULL")
-    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.length("form")).alias("length"))
+    """``KNOWN_TEXT`` of a table (license_id, text), a row per digest; no empty forms, no null names."""
+    C.ship(known.sparkSession)
+    d = known.select(F.col("license_id").cast("string"), F.col("text").cast("string")).where("license_id IS NOT NULL").mapInArrow(_describe, KNOWN_TEXT).where("length > 0")
+    return d.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.first("length").alias("length"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
+
 
+def _candidates(shared, first: bool):
+    """mapInArrow over (rid, doc_id, text, digest, found): digest and found filled in.
+
+    ``found`` gets (kind, digest) of what could be a known text by its length: *whole*, *line* (both only if ``first``),
+    and *inside*, runs of words that begin like a full text and have its number of words.
+    """
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license_id, length) of ``known_texts``."""
-    return digests(spark.createDataFrame([(i, t) for i, _, t in known_texts()], "license_id string, text string"))
+    def run(batches):
+        lengths, anchors, counts = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            had = batch.column(4).to_pylist()
+            digests, found = batch.column(3).to_pylist(), []
+            for a, b in C.text_blocks(texts, 1 << 20):
+                forms = []
+                for i in range(a, b):
+                    lines, got = canonical_lines(texts[i]), set()
+                    form = _spelled(" ".join(x for x in lines if x))
+                    forms.append(form.encode("utf-8", "surrogatepass"))
+                    if first:
+                        digests[i] = hashlib.sha256(forms[-1]).hexdigest()
+                        if len(form) in lengths:
+                            got.add(("whole", digests[i]))
+                        for x in dict.fromkeys(lines):
+                            if x and len(x := _spelled(x)) in lengths:
+                                got.add(("line", digest(x)))
+                    found.append(got)
+                data, ends = C.block_of(forms)
+                words, upto = C.word_hashes(data, ends, C.SPACE_BYTES)
+                g = _grams(words).view(np.int64)
+                if not len(g) or not len(anchors):
+                    continue
+                at = np.minimum(np.searchsorted(anchors, g), len(anchors) - 1)
+                place, own = -1, []
+                for q in np.flatnonzero(anchors[at] == g).tolist():
+                    d = int(np.searchsorted(upto, q, "right"))
+                    if d != place:
+                        place, own = d, forms[d].split(b" ")
+                    p = q - (int(upto[d - 1]) if d else 0)
+                    some = slice(np.searchsorted(anchors, g[q], "left"), np.searchsorted(anchors, g[q], "right"))
+                    for n in counts[some].tolist():
+                        if p + n <= len(own):
+                            found[a + d].add(("inside", hashlib.sha256(b" ".join(own[p : p + n])).hexdigest()))
+            found = [[*(h or ()), *({"kind": k, "digest": x} for k, x in sorted(f))] for h, f in zip(had, found, strict=True)]
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("digest", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digests, pa.string()), pa.array(found, kind)], names=["rid", "doc_id", "t", "digest", "found"])
+
+    return run
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, license_id (of the entire text, null if unknown) and line_licenses (sorted, of single lines).
+    """doc_id, digest, license_id (of the entire text, null if unknown), line_licenses and inside_licenses (sorted names of
+    known texts that are one of its lines; of known full texts that stand in it, itself included).
 
     Null and empty texts, and those with only copyright lines, have the digest of the empty form and no licence.  Ids
-    may be null or repeat; an empty table gives no rows; extra columns are ignored; whole texts are digested.  ``known``
-    (license_id, text), of any size, takes the place of ``known_texts``; both are joined by digest.
+    may be null or repeat; repeated rows give equal rows; an empty table gives no rows; extra columns are ignored; whole
+    texts are digested.  ``known`` (license_id, text), of any size, takes the place of ``known_texts``.
     """
     spark = docs.sparkSession
-    table = digests(known) if known is not None else known_digests(spark)
-    rows = None
-    if known is None:
-        rows = table.collect()  # a constant table
-        least = min(r["length"] for r in rows)
-    else:
-        table = C.settle(table, "licences")
-        least = table.agg(F.min("length").alias("n")).first()["n"] or 0
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    # a canonical form is never longer than its text, so shorter lines equal no known text
-    d = d.select("doc_id", "t", F.sha2(F.expr(canonical("t")), 256).alias("digest"), F.expr(f"array_distinct(filter(split(t, '\\n'), x -> length(x) >= {least}))").alias("lines"))
-    d = d.withColumn("lines", F.expr(f"transform(lines, x -> sha2({canonical('x')}, 256))"))
-    if rows is not None:
-        ids = {r["digest"]: r["license_id"] for r in rows}
-        table = F.broadcast(spark.createDataFrame(list(ids.items()), "digest string, license_id string"))
-        pairs = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-        found = F.transform(F.filter("lines", lambda x: x.isin(list(ids))), lambda x: F.element_at(pairs, x))
-        whole = d.join(table, "digest", "left").withColumn("found", found)
-    else:
-        # lines depend on the text alone, so they come back by its digest
-        d = d.select("doc_id", "digest", "lines", F.sha2("t", 256).alias("key"))
-        hits = d.select("key", F.explode("lines").alias("line")).join(table.select(F.col("digest").alias("line"), "license_id"), "line").groupBy("key").agg(F.collect_set("license_id").alias("found"))
-        whole = d.join(table.select("digest", "license_id"), "digest", "left").join(hits, "key", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
-    return whole.select("doc_id", "digest", "license_id", F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("line_licenses"))
+    C.ship(spark)
+    table = spark.createDataFrame(_built_in(), KNOWN_TEXT) if known is None else C.settle(digests(known), "licences")
+    size = table.count()
+    blocks = max(1, -(-size // BLOCK))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"), F.lit("").alias("digest"), F.expr("CAST(NULL AS ARRAY<STRUCT<kind: STRING, digest: STRING>>)").alias("found"))
+    schema = base.schema
+    # a length is a number of characters, so there are far fewer than texts
+    lengths = {r["length"] for r in table.select("length").distinct().collect()}
+    for k in range(blocks):
+        some = table.where("anchor IS NOT NULL").where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == k).select("anchor", "words").distinct()
+        rows = sorted((r["anchor"], r["words"]) for r in some.collect())
+        shared = spark.sparkContext.broadcast((lengths, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+        base = base.mapInArrow(_candidates(shared, k == 0), schema)
+    base = C.settle(base.drop("t"), "licence-candidates")
+    wanted = C.settle(base.select("rid", F.explode("found").alias("c")).select("rid", "c.kind", "c.digest"), "licence-digests")
+    hot = C.heavy(wanted.groupBy("digest").agg(F.count("*").alias("k")), wanted.count())
+    hits = C.salted_join(wanted, table.select("digest", "license_id"), ["digest"], hot, by="rid")
+    names = lambda kind: F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("license_id")))))
+    hits = hits.groupBy("rid").agg(F.max(F.when(F.col("kind") == "whole", F.col("license_id"))).alias("license_id"), names("line").alias("line_licenses"), names("inside").alias("inside_licenses"))
+    return base.select("rid", "doc_id", "digest").join(hits, "rid", "left").select("doc_id", "digest", "license_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("line_licenses", "inside_licenses")])

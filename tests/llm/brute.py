@@ -26,7 +26,7 @@ def components(rows, n, percent=80):
 
     for i, j in combinations(range(len(rows)), 2):
         a, b = sets[i], sets[j]
-        if a and b and 100 * len(a & b) >= percent * len(a | b):
+        if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
             up[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
