@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.session import ship
+from tessera.sources import codec as K
+
 
 @dataclass(frozen=True)
 class EncodingConfig:
@@ -119,16 +124,27 @@ def _cut(runs: DataFrame, *more: str) -> DataFrame:
     return cut.select("stripe", (F.col("first_pos") + F.col("part") * LONGEST_RUN).alias("start_pos"), "value", *more, length.alias("length")).withColumn("kind", F.when(F.col("length") >= SHORTEST_RUN, "run").otherwise("literal"))
 
 
-def delta_runs(laid: DataFrame, column: str) -> DataFrame:
-    """Stretches of equal differences from -128 to 127 within a stripe: stripe, start_pos, value, delta, length.
+def coded_runs(laid: DataFrame, column: str) -> DataFrame:
+    """Runs and literals of the integer code of each stripe: stripe, start_pos, value (the first), delta, length, kind.
 
-    A stretch is a difference and the rows it leads to; its start is the row before them.
+    As the writer makes them, greedily from a stripe's first value: runs of 3 to 130 values with one difference from
+    -128 to 127, literals of up to 128 values.  NULL values aren't coded; positions are those of the rows.
     """
-    w = Window.partitionBy("stripe").orderBy("pos")
-    d = laid.select("stripe", "pos", F.col(column).cast("long").alias("value")).withColumn("before", F.lag("value").over(w)).withColumn("delta", F.col("value") - F.col("before")).where(F.col("delta").between(-128, 127))
-    d = d.withColumn("new", ((~F.col("delta").eqNullSafe(F.lag("delta").over(w))) | ~(F.col("pos") - 1).eqNullSafe(F.lag("pos").over(w))).cast("long"))
-    d = d.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy("stripe", "run").agg((F.min("pos") - 1).alias("start_pos"), F.min_by("before", "pos").alias("value"), F.first("delta").alias("delta"), (F.count("*") + 1).alias("length")).drop("run").where(F.col("length") >= SHORTEST_RUN)
+    ship(laid.sparkSession)
+
+    def runs(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        stripe, pos, v = (table.column(i).to_numpy() for i in range(3))
+        code = K.integer_code(v)
+        ends = np.append(code.values[1:], len(v))
+        size = ends - code.values
+        control = np.frombuffer(code.data, np.uint8)[code.bytes_]
+        run = control < 128
+        delta = pa.array(np.frombuffer(code.data + b"\0", np.int8)[code.bytes_ + 1].astype(np.int64), mask=~run)
+        return pa.table({"stripe": stripe[code.values], "start_pos": pos[code.values], "value": v[code.values], "delta": delta, "length": size, "kind": np.where(run, "run", "literal")})
+
+    rows = laid.select("stripe", "pos", F.col(column).cast("long").alias("value")).where("value IS NOT NULL")
+    return rows.groupBy("stripe").applyInArrow(runs, "stripe long, start_pos long, value long, delta long, length long, kind string")
 
 
 def byte_runs(values: list[int]) -> bytes:

@@ -40,9 +40,8 @@ def integers(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def doubles(df: DataFrame, *columns: str) -> DataFrame:
-    """column, value_count, minimum, maximum, total_cents: the sum in hundredths, exact whatever the order of rows."""
-    cents = lambda c: F.sum(F.round(F.col(c).cast("double") * 100).cast("long"))
-    return _unpivot(df, {c: [F.count(c), F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double")), cents(c)] for c in columns}, ["value_count", "minimum", "maximum", "total_cents"])
+    """column, value_count, minimum, maximum, total: a sum of doubles, whose last digits depend on the order of rows."""
+    return _unpivot(df, {c: [F.count(c), F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double")), F.sum(F.col(c).cast("double"))] for c in columns}, ["value_count", "minimum", "maximum", "total"])
 
 
 def strings(df: DataFrame, *columns: str) -> DataFrame:
@@ -76,6 +75,11 @@ def text(n: Column, lo: Column | None = None, hi: Column | None = None, total: C
     return F.concat_ws(" ", *parts)
 
 
+def _short(v: Column) -> Column:
+    """A double to the hundredth where that shows it, else as it is."""
+    return F.when((F.abs(v) < 1e18) & ((F.abs(v) >= 0.01) | (v == 0)), F.round(v, 2).cast("decimal(22,2)").cast("string")).otherwise(v.cast("string"))
+
+
 def texts(df: DataFrame) -> DataFrame:
     """column, stats: the text form for every column of a table, in one pass."""
     aggs = {}
@@ -87,8 +91,8 @@ def texts(df: DataFrame) -> DataFrame:
             v = c.cast("long")
             aggs[f.name] = [text(F.count(c), F.min(v), F.max(v), F.try_sum(v))]
         elif kind == "double":
-            cents = (F.sum(F.round(c.cast("double") * 100).cast("long")).cast("decimal(22,0)") / 100).cast("decimal(22,2)")
-            aggs[f.name] = [text(F.count(c), F.min(c.cast("double")).cast("decimal(22,2)"), F.max(c.cast("double")).cast("decimal(22,2)"), cents)]
+            v = c.cast("double")
+            aggs[f.name] = [text(F.count(c), *[_short(x) for x in (F.min(v), F.max(v), F.sum(v))])]
         elif kind == "string":
             aggs[f.name] = [text(F.count(c), F.min(c), F.max(c))]
         else:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +25,35 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=DEFAULTS | conf).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors as a zip, once per application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # executors fetch from the driver's copy while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = f"{folder}/{root.name}_library_{sc.applicationId}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(to)
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    return (spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or "/tmp/checkpoints/tessera").rstrip("/")
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder for local masters (tests), on a cluster an error."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tessera-"))
+    return where.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -100,8 +100,8 @@ def test_runs_are_cut_and_cover_all_rows(spark):
     df = lay_out(spark.range(1000).withColumn("v", F.when(F.col("id") < 500, 1).otherwise(F.col("id") % 2)), "id", 4096, 1000)
     runs = E.equal_runs(df, "v").collect()
     assert sum(r["length"] for r in runs) == 1000 and max(r["length"] for r in runs) == 130
-    d = E.delta_runs(spark.range(10).withColumn("pos", F.col("id")).withColumn("stripe", F.lit(0)), "id").collect()
-    assert [(r["start_pos"], r["value"], r["delta"], r["length"]) for r in d] == [(0, 0, 1, 10)]
+    d = E.coded_runs(spark.range(300).withColumn("pos", F.col("id")).withColumn("stripe", F.col("id") * 0).withColumn("v", F.when(F.col("id") < 200, F.col("id")).otherwise(F.col("id") * F.col("id"))), "v").orderBy("start_pos").collect()
+    assert [(r["start_pos"], r["value"], r["delta"], r["length"], r["kind"]) for r in d] == [(0, 0, 1, 130, "run"), (130, 130, 1, 70, "run"), (200, 40000, None, 100, "literal")]
 
 
 def test_positions_without_a_key(spark):
@@ -175,3 +175,11 @@ def test_string_choice_edges(spark):
     df = spark.createDataFrame(rows, "pos long, stripe long, stride long, s string")
     got = {r["stripe"]: r["encoding"] for r in E.string_choice(df, "s").collect()}
     assert got == {0: None, 1: "DICTIONARY"}
+
+
+def test_sums_of_doubles_keep_small_and_large_values(spark):
+    df = spark.createDataFrame([(0.004, 1e300), (0.004, 1.0), (0.004, None)], "a double, b double")
+    got = {r["column"]: r for r in A.doubles(df, "a", "b").collect()}
+    assert abs(got["a"]["total"] - 0.012) < 1e-12 and got["b"]["total"] == 1e300 and got["b"]["value_count"] == 2
+    text = {r["column"]: r["stats"] for r in A.texts(df).collect()}
+    assert text["a"] == "count: 3 min: 0.004 max: 0.004 sum: 0.01" and text["b"] == "count: 2 min: 1.00 max: 1.0E300 sum: 1.0E300"
