@@ -72,3 +72,13 @@ def union_text(u: Column, n: int) -> Column:
 def struct_text(*fields: Column) -> Column:
     """``{a, b}``; NULL fields read ``null``."""
     return F.concat(F.lit("{"), F.concat_ws(", ", *[F.coalesce(f.cast("string"), F.lit("null")) for f in fields]), F.lit("}"))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Equality of values of one type, structs, lists and unions included; NULL equals NULL."""
+    return a.eqNullSafe(b)
+
+
+def value_hash(c: Column) -> Column:
+    """A hash that equal values share; 0 for NULL."""
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(c))

@@ -85,9 +85,12 @@ def string_choice(laid: DataFrame, column: str, config: EncodingConfig = DEFAULT
 def carried(choices: DataFrame, config: EncodingConfig = DEFAULT) -> DataFrame:
     """stripe and the encoding in force: decided every ``interval`` stripes and kept in between.
 
-    A row per stripe; the deciding stripes are joined on, so no stripe waits for another.
+    A deciding stripe without values (NULL) leaves the decision before in force, DIRECT at the start.  A row per stripe;
+    the deciding stripes, one in ``interval``, are put in order and joined on.
     """
-    decide = choices.where(F.col("stripe") % config.interval == 0).select(F.col("stripe").alias("decided_at"), F.col("encoding").alias("effective"))
+    before = Window.orderBy("decided_at").rowsBetween(Window.unboundedPreceding, 0)  # a row for every ``interval`` stripes
+    decide = choices.where(F.col("stripe") % config.interval == 0).select(F.col("stripe").alias("decided_at"), "encoding")
+    decide = decide.select("decided_at", F.coalesce(F.last("encoding", ignorenulls=True).over(before), F.lit("DIRECT")).alias("effective"))
     at = F.expr(f"(stripe div {config.interval}) * {config.interval}")
     return choices.withColumn("decided_at", at).join(decide, "decided_at").select("stripe", "decided_at", "encoding", "effective")
 

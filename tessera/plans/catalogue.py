@@ -163,8 +163,11 @@ def type_tree(spark, d):
  (9, 1, 'c_custkey', 'DATA', 'DATA'), (10, 2, 'c_name', 'LENGTH', 'DATA'), (11, 2, 'c_name', 'DATA', 'DATA'), (12, 3, 'c_nationkey', 'DATA', 'DATA'), (13, 4, 'c_acctbal', 'DATA', 'DATA'), (14, 5, 'c_mktsegment', 'DATA', 'DATA')
 ) AS t(seq, column_id, path, stream, area)""")
 def stream_layout(spark, d):
-    """Order of a stripe's streams: index, dictionary, data."""
-    s = N.streams(table(spark, d, "customer").schema, dictionary=frozenset({"c_nationkey", "c_mktsegment"}))
+    """Order of a stripe's streams: index, dictionary, data; columns have dictionaries where the values call for them."""
+    c = laid(spark, d, "customer")
+    choices = [f(c, n).where("encoding = 'DICTIONARY'").select(F.lit(n).alias("n")) for f, names in ((E.numeric_choice, ("c_custkey", "c_nationkey")), (E.string_choice, ("c_name", "c_mktsegment"))) for n in names]
+    chosen = {r["n"] for some in choices for r in some.limit(1).collect()}  # a name a column at most
+    s = N.streams(table(spark, d, "customer").schema, dictionary=frozenset(chosen))
     return files.literal(spark, [(i, *x) for i, x in enumerate(s)], "seq int, column_id int, path string, stream string, area string")
 
 

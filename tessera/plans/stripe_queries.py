@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import memory, nested
 from tessera.operators import encoding as E
+from tessera.operators import scan
 from tessera.plans.catalogue import laid, query, table
 from tessera.plans.session import fresh_path
 from tessera.sources import striped as D
@@ -67,14 +69,19 @@ def stripe_nested_values(spark, d):
  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 4 = 1""")
 def stripe_all_types(spark, d):
     """A column of each primitive type with nulls; ids as dictionaries of integers, values that occur once in line."""
+    rows = _typed(spark, d)
+    got = D.scan(D.write(rows, fresh_path(spark, "types"), Options(stripe_rows=4096, stride=1000, codec="ZSTD", int_dictionary=0.7, once_in_line=True)))
+    return got.withColumn("n", F.hex("n"))
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """A column of each primitive type; every fourth row is NULL but for its key."""
     rows = spark.sql(
         """SELECT o_orderkey, o_orderkey % 3 = 0 AS b, CAST(o_orderkey % 100 AS TINYINT) AS y, CAST(o_orderkey % 30000 AS SMALLINT) AS s, CAST(o_custkey AS INT) AS i, o_custkey * 1000003 AS l,
-        CAST(o_orderkey AS FLOAT) / CAST(4 AS FLOAT) AS f, o_totalprice AS x, o_orderpriority AS t, CAST(o_orderstatus AS BINARY) AS n, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS dt FROM {o}""",
+        CAST(o_orderkey / 4 AS FLOAT) AS f, o_totalprice AS x, o_orderpriority AS t, CAST(o_orderstatus AS BINARY) AS n, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS dt FROM {o}""",
         o=table(spark, d, "orders"),
     )
-    rows = rows.select("o_orderkey", *[F.when(F.col("o_orderkey") % 4 != 1, F.col(c)).alias(c) for c in rows.columns[1:]])
-    got = D.scan(D.write(rows, fresh_path(spark, "types"), Options(stripe_rows=4096, stride=1000, codec="ZSTD", int_dictionary=0.7, once_in_line=True)))
-    return got.withColumn("f", F.col("f").cast("float")).withColumn("n", F.hex("n"))
+    return rows.select("o_orderkey", *[F.when(F.col("o_orderkey") % 4 != 1, F.col(c)).alias(c) for c in rows.columns[1:]])
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -209,3 +216,56 @@ SELECT stripe, pos AS start_pos, x AS value, delta, length, CASE WHEN run THEN '
 def rle_delta_runs(spark, d):
     """The runs and literals that the integer code of each stripe consists of."""
     return E.coded_runs(laid(spark, d, "orders"), "o_custkey")
+
+
+@query("""SELECT o_orderkey % 3 = 0 AS b, CAST(o_orderkey % 100 AS TINYINT) AS y, CAST(o_orderkey % 30000 AS SMALLINT) AS s, CAST(o_custkey AS INTEGER) AS i, o_custkey * 1000003 AS l,
+ CAST(o_orderkey AS FLOAT) / 4 AS f, o_totalprice AS x, o_orderpriority AS t, hex(encode(o_orderstatus)) AS n, o_orderdate AS ts FROM orders WHERE o_orderkey % 4 <> 1""")
+def typed_access_all(spark, d):
+    """Values of the ten primitive types, each read as its own type only, where there is a value."""
+    t = _typed(spark, d).where("b IS NOT NULL")
+    kinds = {"b": "boolean", "y": "tinyint", "s": "smallint", "i": "int", "l": "bigint", "f": "float", "x": "double", "t": "string", "n": "binary", "ts": "timestamp_ntz"}
+    return t.select(*[scan.strict(t, c, k).alias(c) for c, k in kinds.items()]).withColumn("n", F.hex("n"))
+
+
+@query("SELECT 'ZLIB' AS codec, 262144::BIGINT AS block, 10000::BIGINT AS stride, CAST(count(*) AS BIGINT) AS rows, CAST(sum(8 + strlen(c_name) + 4 + 8 + strlen(c_mktsegment)) AS BIGINT) AS raw_size, 'struct<c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string>' AS type, true AS has_content FROM customer")
+def footer_summary(spark, d):
+    """What footers say of a table that a sink wrote with its own defaults, whatever the session's settings are."""
+    f = D.file_list(D.write(table(spark, d, "customer"), fresh_path(spark, "customer")))
+    return f.groupBy("codec", "block", "stride", "type").agg(F.sum("rows").alias("rows"), F.sum("raw_size").alias("raw_size"), F.bool_and(F.col("content") > 0).alias("has_content"))
+
+
+@query("""SELECT unnest(['Compression: SNAPPY', 'Compression size: 65536', 'Stride: 1000', 'Rows: ' || count(*), 'Raw data size: ' || CAST(sum(8 + strlen(c_name) + 4 + 8 + strlen(c_mktsegment)) AS BIGINT), 'Metadata made by: 2 bytes',
+ 'Type: struct<c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string>', 'Column 0 count: ' || count(*), 'Column 1 c_custkey count: ' || count(*) || ' min: ' || min(c_custkey) || ' max: ' || max(c_custkey) || ' sum: ' || CAST(sum(c_custkey) AS BIGINT),
+ 'Column 2 c_name count: ' || count(*) || ' min: ' || min(c_name) || ' max: ' || max(c_name), 'Column 3 c_nationkey count: ' || count(*) || ' min: ' || min(c_nationkey) || ' max: ' || max(c_nationkey) || ' sum: ' || CAST(sum(c_nationkey) AS BIGINT),
+ 'Column 5 c_mktsegment count: ' || count(*) || ' min: ' || min(c_mktsegment) || ' max: ' || max(c_mktsegment)]) AS text FROM customer""")
+def footer_dump(spark, d):
+    """The dump of one file, but for the lines that hold places in it and a sum of doubles."""
+    files = D.write(table(spark, d, "customer").coalesce(1), fresh_path(spark, "customer"), Options(codec="SNAPPY", block=65536, stride=1000), {"made by": b"us"})
+    return D.dump(files).where("NOT text RLIKE '^(Stripe|Stream|Encoding|Column 4)'").select("text")
+
+
+@query("""SELECT a.o_orderkey, a.o_orderstatus = b.o_orderstatus AND a.o_custkey % 3 = b.o_custkey % 3 AS same, a.o_orderstatus = b.o_orderstatus AND a.o_custkey % 3 = b.o_custkey % 3 AS same_hash, CAST(0 AS BIGINT) AS null_hash
+ FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1""")
+def struct_equal(spark, d):
+    """Structs of neighbouring rows: equal in value, and then in hash; the hash of NULL is 0."""
+    o = table(spark, d, "orders").select("o_orderkey", F.struct("o_orderstatus", F.struct(F.col("o_custkey") % 3, F.lit(None).cast("string")).alias("inner")).alias("v"))
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("v").alias("w"))
+    return o.join(b, "o_orderkey").select("o_orderkey", nested.same_value(F.col("v"), F.col("w")).alias("same"), (nested.value_hash(F.col("v")) == nested.value_hash(F.col("w"))).alias("same_hash"), nested.value_hash(F.lit(None).cast("string")).alias("null_hash"))
+
+
+@query("SELECT doc_id, n_chars > 600 OR length(lang) > 2 AS flush FROM documents WHERE n_chars IS NOT NULL AND lang IS NOT NULL")
+def memory_flush(spark, d):
+    """The writer's rule to flush: more in memory than its share of a stripe, or a dictionary over its cap."""
+    t = table(spark, d, "documents").where("n_chars IS NOT NULL AND lang IS NOT NULL")
+    return t.select("doc_id", memory.flush_rule(F.col("n_chars"), 2000, 0.6, 0.5, F.length("lang"), 2).alias("flush"))
+
+
+@query("""WITH c AS (SELECT o_orderkey // 256 AS stripe, CASE WHEN (o_orderkey // 256) % 4 <> 1 AND o_orderkey >= 1024 THEN o_custkey END AS v FROM orders),
+ s AS (SELECT stripe, count(v) AS n, count(DISTINCT v) AS k FROM c GROUP BY 1), e AS (SELECT stripe, CASE WHEN n = 0 THEN NULL WHEN 10 * k <= 7 * n THEN 'DICTIONARY' ELSE 'DIRECT' END AS encoding FROM s),
+ d AS (SELECT stripe, coalesce(last_value(encoding IGNORE NULLS) OVER (ORDER BY stripe), 'DIRECT') AS effective FROM e WHERE stripe % 3 = 0)
+ SELECT e.stripe, e.stripe // 3 * 3 AS decided_at, encoding, effective FROM e JOIN d ON d.stripe = e.stripe // 3 * 3""")
+def encoding_carryover_nulls(spark, d):
+    """Decisions every three stripes, where some have no values: the one before stays in force."""
+    o = laid(spark, d, "orders", 256).withColumn("v", F.when((F.col("stripe") % 4 != 1) & (F.col("pos") >= 1024), F.col("o_custkey")))
+    c = E.numeric_choice(o, "v").withColumn("encoding", F.when(F.col("rows") > 0, F.col("encoding")))
+    return E.carried(c, E.EncodingConfig(interval=3))
