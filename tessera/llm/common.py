@@ -94,17 +94,23 @@ class Scratch:
 # --- skewed keys ------------------------------------------------------------------------------------------------
 
 
-def heavy(counts: DataFrame, total: int) -> DataFrame:
-    """Of (keys ..., k rows), the keys with a large share of ``total`` rows: ``MOST`` at most, so they can be broadcast."""
-    return counts.where(F.col("k") >= max(LEAST, -(-total // MOST)))
+def heavy(counts: DataFrame, total: int) -> DataFrame | None:
+    """Of (keys ..., k rows), the keys with a large share of ``total`` rows: ``MOST`` at most, so they can be broadcast.
+
+    None if there are too few rows for any.
+    """
+    return None if total < LEAST else counts.where(F.col("k") >= max(LEAST, -(-total // MOST)))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """``left.join(right, on, how)`` where keys in ``hot`` (keys ..., k; from ``heavy``) hold many of left's rows.
 
     Their rows are dealt to k / LEAST salts by a hash of left's column ``by``; right's rows of such keys, which should
-    be one a key, are repeated for each salt, so right grows by a LEAST-th of left's rows at most.
+    be one a key, are repeated for each salt, so right grows by a LEAST-th of left's rows at most.  Where no key is hot
+    it is a plain join.
     """
+    if hot is None or hot.isEmpty():
+        return left.join(right, on, how)
     few = F.broadcast(hot.select(*on, F.ceil(F.col("k") / LEAST).alias("_salts")))
     a = left.join(few, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(F.col(by)), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
     b = right.join(few, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1).cast("long")) - 1))).drop("_salts")

@@ -68,35 +68,39 @@ class Model:
 
     def __post_init__(self):
         self.longest = max(map(len, self.pieces), default=1)
-        self.trie = {p[:k]: -1 for p in self.pieces for k in range(1, len(p))} | self.pieces  # -1: only a piece's beginning
+        nodes = {"": 0}
+        for p in sorted(self.pieces):
+            for k in range(1, len(p) + 1):
+                nodes.setdefault(p[:k], len(nodes))
+        steps = sorted((nodes[x[:-1]] << 21 | ord(x[-1]), n) for x, n in nodes.items() if x)
+        #: The trie of the pieces as sorted (node, character) keys and the nodes they lead to; a node's piece, or -1.
+        self.keys, self.leads = (np.array([x[k] for x in steps], dtype=np.int64) for k in (0, 1))
+        self.piece_at = np.array([self.pieces.get(x, -1) for x in nodes], dtype=np.int64)
 
     def lattice(self, words: list[str]):
-        """Edges of all words' lattices as arrays (word, start, end, piece), by ascending end; and lengths."""
-        get, unk = self.trie.get, len(self.pieces)
-        w, s, e, p = [], [], [], []
+        """Edges of all words' lattices as arrays (word, start, end, piece), by ascending end and word; and lengths.
+
+        The trie is walked from all starts of all words at once, a character a step.
+        """
+        unk = len(self.pieces)
+        text = np.array(["▁" + x for x in words])
+        codes = text.view(np.uint32).reshape(len(words), -1).astype(np.int64)
         sizes = np.fromiter((len(x) + 1 for x in words), dtype=np.int64, count=len(words))
-        for k, x in enumerate(words):
-            x = "▁" + x
-            n = len(x)
-            for i in range(n):
-                one = True
-                for j in range(i + 1, n + 1):
-                    q = get(x[i:j])
-                    if q is None:
-                        break
-                    if q >= 0:
-                        w.append(k)
-                        s.append(i)
-                        e.append(j)
-                        p.append(q)
-                        one = one and j != i + 1
-                if one:
-                    w.append(k)
-                    s.append(i)
-                    e.append(i + 1)
-                    p.append(unk)
-        w, s, e, p = (np.array(a, dtype=np.int64) for a in (w, s, e, p))
-        order = np.argsort(e, kind="stable")
+        w = np.repeat(np.arange(len(words)), sizes)
+        s = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        node, e, edges = np.zeros(len(w), dtype=np.int64), s.copy(), []
+        while len(w):
+            key = node << 21 | codes[w, e]
+            at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            ok = self.keys[at] == key if len(self.keys) else np.zeros(len(w), dtype=bool)
+            piece = np.where(ok, self.piece_at[self.leads[at]], -1) if len(self.keys) else np.full(len(w), -1)
+            if not edges:  # characters that are no piece
+                edges.append((w[piece < 0], s[piece < 0], e[piece < 0] + 1, np.full(int((piece < 0).sum()), unk)))
+            edges.append((w[piece >= 0], s[piece >= 0], e[piece >= 0] + 1, piece[piece >= 0]))
+            ok &= e + 1 < sizes[w]
+            w, s, e, node = w[ok], s[ok], e[ok] + 1, self.leads[at[ok]]
+        w, s, e, p = (np.concatenate([x[k] for x in edges]) for k in range(4))
+        order = np.argsort(e * len(words) + w, kind="stable")
         return w[order], s[order], e[order], p[order], sizes
 
     def forward(self, lattice) -> np.ndarray:

@@ -36,6 +36,8 @@ M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: The likelihood test lets pass what is estimated above threshold minus this many standard deviations.
 SIGMAS = 5.0
+#: Members of a hot center that are compared with it in one salt.
+SALT = 64
 #: Members and outsiders of a bucket that one block compares.
 BLOCK, CHUNK = 256, 256
 
@@ -197,11 +199,14 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, hot: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough.  Members of a center in ``hot`` go to salts of LEAST."""
+def _linked(pairs: DataFrame, hot: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough.  Members of a center in ``hot`` go to salts of SALT."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = F.broadcast(hot.select("a", F.ceil(F.col("k") / C.LEAST).alias("salts")))
-    salted = pairs.join(salts, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0).cast("long")).alias("salt"), "b")
+    if hot is None or hot.isEmpty():
+        pairs = pairs.withColumn("salts", F.lit(1).cast("long"))
+    else:
+        pairs = pairs.join(F.broadcast(hot.select("a", F.ceil(F.col("k") / SALT).alias("salts"))), "a", "left")
+    salted = pairs.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0).cast("long")).alias("salt"), "b")
     centers = salted.select("a", "salt").distinct().select("a", "salt", F.lit(-1).cast("long").alias("b"), F.col("a").alias("node"))
     rows = salted.withColumn("node", F.col("b")).unionByName(centers).join(texts, "node").select("a", "salt", "b", "text")
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(_verify(size, percent), "a long, b long")
@@ -218,7 +223,8 @@ def components(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
     """
     own = C.Scratch(scratch.spark)
     both = own.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    hubs = own.settle(C.heavy(both.groupBy("b").agg(F.count("*").alias("k")), both.count()), "hubs")
+    hubs = C.heavy(both.groupBy("b").agg(F.count("*").alias("k")), both.count())
+    hubs = hubs and own.settle(hubs, "hubs")
     label = own.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     nodes, keep = label.count(), len(own.paths) - 1
     while True:
@@ -350,19 +356,21 @@ def _cross(size: int, percent: int):
     return run
 
 
-def _rest(multi: DataFrame, hot: DataFrame, comp: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame:
-    """Links (a, b) between components that share a bucket; ``hot`` has the buckets with many members."""
+def _rest(multi: DataFrame, hot: DataFrame | None, comp: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int, scratch: C.Scratch) -> DataFrame | None:
+    """Links (a, b) between components that share a bucket, None if none do; ``hot`` has the buckets with many members."""
     parts = int(multi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     m = scratch.settle(multi.where("cnt >= 3").join(comp, "node", "left").select("bucket", "node", "cnt", F.coalesce("comp", "node").alias("comp")), "members")
     shares = m.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", F.col("top.comp").alias("main"), F.col("top.k").alias("inside"))
-    m = C.salted_join(m, main, ["bucket"], hot, by="node")
+    m = scratch.settle(C.salted_join(m, main, ["bucket"], hot, by="node"), "mixed")
+    if m.isEmpty():
+        return None
     m = m.withColumn("blocks", F.ceil(F.col("cnt") / BLOCK)).withColumn("chunks", F.ceil((F.col("cnt") - F.col("inside")) / CHUNK))
     h = F.xxhash64("node", "bucket")
     members = m.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("bucket", F.pmod(h, F.col("blocks")).alias("blk"), "chunk", F.lit(False).alias("outside"), "node", "comp")
     out = m.where("comp != main").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("bucket", "blk", F.pmod(h, F.col("chunks")).alias("chunk"), F.lit(True).alias("outside"), "node", "comp")
     key = ["bucket", "blk", "chunk"]
-    cells = scratch.settle(members.unionByName(out), "cells").join(sketches, "node").select(*key, "outside", "node", "comp", "n", "sketch")
+    cells = members.unionByName(out).join(sketches, "node").select(*key, "outside", "node", "comp", "n", "sketch")
     cells = cells.repartition(parts, *key).sortWithinPartitions(*key, "outside").mapInArrow(_screen(test_level(percent / 100), percent / 100), "bucket long, blk long, chunk long, outside boolean, node long, comp long")
     cells = scratch.settle(cells, "likely").join(texts, "node").select(*key, "outside", "node", "comp", "text")
     return cells.repartition(parts, *key).sortWithinPartitions(*key, "outside").mapInArrow(_cross(size, percent), "a long, b long").distinct()
@@ -371,7 +379,7 @@ def _rest(multi: DataFrame, hot: DataFrame, comp: DataFrame, sketches: DataFrame
 # --- the operator ----------------------------------------------------------------------------------------------
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The documents with set size, fingerprint and row number, ``extra`` columns as x0 and so on; per class of equal
     sets, its fingerprint, its component's smallest doc_id and the row that stands for the component; and the
     fingerprints of classes with many documents.
@@ -391,19 +399,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
     lead = tmp.settle(bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1"), "leads")
     hot = C.heavy(lead.select("bucket", F.col("cnt").alias("k")), BANDS * reps.count())
     multi = tmp.settle(C.salted_join(bands, lead, ["bucket"], hot, by="node"), "buckets")
-    # the only texts that are looked at again: those that share a bucket with another
-    texts = tmp.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
-
     r = reps.select("node", "n", "sketch")
     left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
     right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
     star = tmp.settle(multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    hubs = tmp.settle(C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), star.count()), "hubs")
+    n_star = star.count()
+    if not n_star:  # no bucket has two members
+        classes = C.settle(reps.select("f1", "f2", F.col("low").alias("component"), F.col("row").alias("stay")), "classes")
+        copied = copied and C.settle(copied, "copied")
+        tmp.drop()
+        return base, classes, copied
+    # the only texts that are looked at again: those that share a bucket with another
+    texts = tmp.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
+    hubs = C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), n_star)
+    hubs = hubs and tmp.settle(hubs, "hubs")
     pairs = C.salted_join(star, left, ["a"], hubs, by="b").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
     edges = tmp.settle(_linked(tmp.settle(pairs, "pairs"), hubs, texts, shingle, percent), "links")
     comp = components(edges, tmp)
-    more = tmp.settle(_rest(multi, hot, comp, r, texts, shingle, percent, tmp), "links")
-    if not more.isEmpty():
+    more = _rest(multi, hot, comp, r, texts, shingle, percent, tmp)
+    more = more and tmp.settle(more, "links")
+    if more is not None and not more.isEmpty():
         comp = components(edges.unionByName(more), tmp)
 
     named = reps.select("node", "f1", "f2", "low", "row").join(comp, "node", "left")
@@ -413,7 +428,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
         "f1", "f2", F.when(F.col("comp").isNull(), F.col("low")).otherwise(F.col("first")).alias("component"),
         F.when(F.col("comp").isNull(), F.col("row")).otherwise(F.coalesce("stay", "any")).alias("stay"),
     )
-    classes, copied = C.settle(classes, "classes"), C.settle(copied, "copied")
+    classes, copied = C.settle(classes, "classes"), copied and C.settle(copied, "copied")
     tmp.drop()
     return base, classes, copied
 
