@@ -148,6 +148,13 @@ def _run(tree, row) -> float:
     return tree
 
 
+def _values(tree, x: np.ndarray) -> np.ndarray:
+    """The tree's value for each row of features."""
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], _values(tree[2], x), _values(tree[3], x))
+
+
 @functools.cache
 def model(n: int = 2400, rounds: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.98, seed: int = 11):
     """(trees, slope, offset, thresholds by kind, report): boosted on ``n`` generated candidates, calibrated on ``n`` held-out ones.
@@ -162,15 +169,16 @@ def model(n: int = 2400, rounds: int = 24, depth: int = 3, rate: float = 0.3, pr
         p = 1 / (1 + np.exp(-score))
         tree = _split(x, p - y, p * (1 - p), np.arange(n), depth)
         trees.append(tree)
-        score += rate * np.array([_run(tree, row) for row in x])
-    raw = lambda cs: np.array([rate * sum(_run(t, _feature_row(*c[:4])) for t in trees) for c in cs])
-    hs, hy = raw(hold), np.array([c[4] for c in hold], float)
+        score += rate * _values(tree, x)
+    hx, tx = (np.array([_feature_row(*c[:4]) for c in cs]) for cs in (hold, test))
+    raw = lambda x: rate * sum(_values(t, x) for t in trees)
+    hs, hy = raw(hx), np.array([c[4] for c in hold], float)
     a, b = 1.0, 0.0
     for _ in range(300):  # sigmoid calibration
         p = 1 / (1 + np.exp(-(a * hs + b)))
         a -= 0.05 * float(((p - hy) * hs).mean())
         b -= 0.05 * float((p - hy).mean())
-    hp, tp, ty = 1 / (1 + np.exp(-(a * hs + b))), 1 / (1 + np.exp(-(a * raw(test) + b))), np.array([c[4] for c in test], float)
+    hp, tp, ty = 1 / (1 + np.exp(-(a * hs + b))), 1 / (1 + np.exp(-(a * raw(tx) + b))), np.array([c[4] for c in test], float)
     cuts, report = {}, {}
     for kind in dict.fromkeys(k for k, _, _ in GENERATORS):
         mine = np.array([GENERATORS[c[0]][0] == kind for c in hold])
