@@ -291,9 +291,34 @@ def _fits(s: S.Stats, low, high) -> bool:
     return (high is None or s.low <= high) and (low is None or s.high >= low)
 
 
-def _scan(ids: Sequence[int] | None, where: tuple[int, object, object] | None, seek: int, positions: bool, lanes: bool):
+def _scan(ids: Sequence[int] | None, where: tuple[str, int, object, object] | None, seek: int, positions: bool):
     """mapInArrow over (path, stripe, first position): rows of the stripes."""
 
+    def spans_of(reader: S.Reader, s: S.Stripe, first: int) -> list[tuple[int, int]]:
+        """Ranges of the stripe's rows that are looked at: strides that can have wanted values, from the position on."""
+        step, spans = reader.stride or s.rows, [(0, s.rows)]
+        if where is not None and (index := reader.index(s, where[1])):
+            spans = [(k * step, min((k + 1) * step, s.rows)) for k, (_, stats) in enumerate(index) if _fits(stats, *where[2:])]
+        return [(max(a, seek - first), b) for a, b in spans if first + b > seek]
+
+    def rows_of(reader: S.Reader, number: int, first: int):
+        s = reader.stripes[number]
+        spans = spans_of(reader, s, first)
+        if not spans:
+            return
+        rows = reader.read(s, ids if where is None or ids is None else [*ids, where[1]])
+        names = [f.name for f in reader.root.arrow(S.chosen(reader.root, ids))]
+        for a, b in spans:
+            part, at = rows.slice(a, b - a), pa.array(range(first + a, first + b), pa.int64())
+            if where is not None:
+                column = part.field(where[0])
+                least, most = (pa.scalar(x, column.type) for x in where[2:])
+                keep = pc.fill_null(pc.and_kleene(pc.greater_equal(column, least), pc.less_equal(column, most)), False)
+                part, at = part.filter(keep), at.filter(keep)
+            cols = {n: part.field(n) for n in names} | ({"pos": at} if positions else {})
+            for k in range(0, len(part), 10_000):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 10_000) for c in cols.values()], names=list(cols))
+
     def run(batches):
         uri, source, reader = "", None, None
         try:
@@ -305,34 +330,7 @@ def _scan(ids: Sequence[int] | None, where: tuple[int, object, object] | None, s
                         fs, at = filesystem(path)
                         uri, source = path, fs.open_input_file(at)
                         reader = S.Reader(source, path)
-                    s = reader.stripes[number]
-                    keep = pa.array([True]) if where is None else None
-                    step = reader.stride or s.rows
-                    spans = [(0, s.rows)]
-                    if where is not None:
-                        index = reader.index(s, where[0])
-                        spans = [(k * step, min((k + 1) * step, s.rows)) for k, (_, stats) in enumerate(index) if _fits(stats, *where[1:])] if index else spans
-                    spans = [(max(a, seek - first), b) for a, b in spans if first + b > seek]
-                    if not spans:
-                        continue
-                    names = {n.id: n for n in reader.root.walk()}
-                    want = ids if where is None or ids is None else [*ids, where[0]]
-                    rows = reader.read(s, want)
-                    out_type = reader.root.arrow(S.chosen(reader.root, ids))
-                    for a, b in spans:
-                        part = rows.slice(a, b - a)
-                        at = pa.array(range(first + a, first + b), pa.int64())
-                        if where is not None:
-                            column = part.field([k.id for k in reader.root.kids if k.id in (S.chosen(reader.root, want) or names)].index(where[0]))
-                            keep = pc.fill_null(pc.and_kleene(pc.greater_equal(column, pa.scalar(where[1], column.type)), pc.less_equal(column, pa.scalar(where[2], column.type))), False)
-                            part, at = part.filter(keep), at.filter(keep)
-                        cols = {f.name: part.field(f.name) for f in out_type}
-                        if positions:
-                            cols["pos"] = at
-                        if lanes:
-                            cols["part_stripe"] = pa.array([number] * len(part), pa.int64())
-                        for k in range(0, len(part), 10_000):
-                            yield pa.RecordBatch.from_arrays([c.slice(k, 10_000) for c in cols.values()], names=list(cols))
+                    yield from rows_of(reader, number, first)
         finally:
             if source is not None:
                 source.close()
@@ -340,15 +338,14 @@ def _scan(ids: Sequence[int] | None, where: tuple[int, object, object] | None, s
     return run
 
 
-def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int, int] | None = None, where: tuple[str, object, object] | None = None, seek: int = 0, positions: bool = False, lanes: bool = False) -> DataFrame:
+def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int, int] | None = None, where: tuple[str, object, object] | None = None, seek: int = 0, positions: bool = False) -> DataFrame:
     """Rows of a table.
 
     ``ids``: numbers of the types to read, in the order of the type tree; a chosen one brings what is below it, a field of
     a struct only itself.  ``split``: of each file, stripes that begin in so many bytes from an offset.  ``where``: a
     top-level column with a least and a largest value; strides whose statistics exclude these are passed over, stripes
     without a stride that fits aren't read.  ``seek``: the first row wanted, counted over the table; negative ones and
-    those past the end are errors.  ``positions``, ``lanes``: columns ``pos`` and ``part_stripe`` with a row's number in the
-    table and its stripe's number in its file.  Tasks get stripes of about ``spark.sql.files.maxPartitionBytes``.
+    those past the end are errors.  ``positions``: a column ``pos`` with a row's number in the table.  Tasks get stripes of about ``spark.sql.files.maxPartitionBytes``.
     """
     spark = files.sparkSession
     root = schema_of(files)
@@ -356,7 +353,7 @@ def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int
     names = paths_of(root)
     test = None
     if where is not None:
-        test = (next(k.id for k in root.kids if names[k.id] == where[0]), *where[1:])
+        test = (where[0], next(k.id for k in root.kids if names[k.id] == where[0]), *where[1:])
     stripes = stripe_list(files)
     if seek < 0:
         raise ValueError("seek before the first row")
@@ -375,8 +372,8 @@ def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int
     size = files.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     stripes = stripes.select("part", "seq", "path", "stripe", "first").repartitionByRange(max(1, -(-size // most)), "part", "seq", "stripe").sortWithinPartitions("part", "seq", "stripe")
-    more = [T.StructField("pos", T.LongType())] * positions + [T.StructField("part_stripe", T.LongType())] * lanes
-    return stripes.select("path", "stripe", "first").mapInArrow(_scan(ids, test, seek, positions, lanes), T.StructType([*schema.fields, *more]))
+    more = [T.StructField("pos", T.LongType())] * positions
+    return stripes.select("path", "stripe", "first").mapInArrow(_scan(ids, test, seek, positions), T.StructType([*schema.fields, *more]))
 
 
 def raw_stripes(files: DataFrame) -> DataFrame:
