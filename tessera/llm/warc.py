@@ -43,13 +43,16 @@ def digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; a revisit has no block and names the record it refers to."""
+    """One WARC/1.1 record; a revisit has no block and names the record it refers to.
+
+    A record is named by its page and payload, so pages that share an id have records of their own.
+    """
     kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{sha}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     head.append("WARC-Target-URI: " + (url or "").translate({10: None, 13: None}))
     head += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}:{sha}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     block = payload if refers_to is None else b""
     head += ["Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -199,8 +202,8 @@ def _read(batches):
                     length = int(raw[at:head].rsplit(b"Content-Length: ", 1)[1].split(b"\r\n")[0])
                     fields, block = parse(raw[at : head + length + 4])
                     ref = fields.get("WARC-Refers-To")
-                    ident = fields["WARC-Record-ID"][10:-1]
-                    out.append((None if ident == "None" else int(ident), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(ref[10:-1]) if ref else None, block, digest(block) if ref is None else None, uri, frame, at))
+                    ident = fields["WARC-Record-ID"][10:-1].split(":")[0]
+                    out.append((None if ident == "None" else int(ident), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][5:], fields["WARC-Type"], int(ref[10:-1].split(":")[0]) if ref else None, block, digest(block) if ref is None else None, uri, frame, at))
                     at = head + length + 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)  # a frame at a time
     finally:

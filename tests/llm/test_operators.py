@@ -318,6 +318,14 @@ def test_warc_reads_by_bytes_and_with_odd_columns(spark, tmp_path):
         warc.Bundle(None, frame_bytes=warc.MOST_FRAME_BYTES + 1)
 
 
+def test_warc_records_have_names_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (2, "u", None)], "page_id long, url string, html string")
+    index = warc.write(pages, str(tmp_path / "w")).collect()
+    heads = [warc.read_record(r["bundle"], r["frame"], r["at"], r["length"])[0] for r in index]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == 4 and [h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h] == [f"<urn:page:1:{warc.digest(b'a')}>"] and f"<urn:page:1:{warc.digest(b'a')}>" in names
+
+
 def test_warc_of_nothing(spark, tmp_path):
     assert warc.round_trip(empty(spark, "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
