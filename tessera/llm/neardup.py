@@ -399,9 +399,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
     lead = tmp.settle(bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1"), "leads")
     hot = C.heavy(lead.select("bucket", F.col("cnt").alias("k")), BANDS * reps.count())
     multi = tmp.settle(C.salted_join(bands, lead, ["bucket"], hot, by="node"), "buckets")
-    r = reps.select("node", "n", "sketch")
-    left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
-    right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
     star = tmp.settle(multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     n_star = star.count()
     if not n_star:  # no bucket has two members
@@ -409,8 +406,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
         copied = copied and C.settle(copied, "copied")
         tmp.drop()
         return base, classes, copied
-    # the only texts that are looked at again: those that share a bucket with another
-    texts = tmp.settle(base.select(F.col("rid").alias("node"), "text").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
+    # the only texts and registers that are looked at again: those that share a bucket with another
+    members = tmp.settle(base.select(F.col("rid").alias("node"), "text", "n", "sketch").join(multi.select("node").distinct(), "node", "left_semi"), "texts")
+    texts, r = members.select("node", "text"), members.select("node", "n", "sketch")
+    left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
+    right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
     hubs = C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), n_star)
     hubs = hubs and tmp.settle(hubs, "hubs")
     pairs = C.salted_join(star, left, ["a"], hubs, by="b").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
