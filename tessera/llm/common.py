@@ -102,6 +102,15 @@ def heavy(counts: DataFrame, total: int) -> DataFrame | None:
     return None if total < LEAST else counts.where(F.col("k") >= max(LEAST, -(-total // MOST)))
 
 
+def counted(hot: DataFrame | None) -> DataFrame | None:
+    """A frame from ``heavy`` counted now, its few rows kept with the driver, so that no later use counts them again.
+
+    None if there are none.
+    """
+    rows = None if hot is None else hot.toArrow()
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
     """``left.join(right, on, how)`` where keys in ``hot`` (keys ..., k; from ``heavy``) hold many of left's rows.
 

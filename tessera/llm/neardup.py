@@ -202,7 +202,7 @@ def _verify(size: int, percent: int):
 def _linked(pairs: DataFrame, hot: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough.  Members of a center in ``hot`` go to salts of SALT."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if hot is None or hot.isEmpty():
+    if hot is None:
         pairs = pairs.withColumn("salts", F.lit(1).cast("long"))
     else:
         pairs = pairs.join(F.broadcast(hot.select("a", F.ceil(F.col("k") / SALT).alias("salts"))), "a", "left")
@@ -223,14 +223,13 @@ def components(edges: DataFrame, scratch: C.Scratch) -> DataFrame:
     """
     own = C.Scratch(scratch.spark)
     both = own.settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    hubs = C.heavy(both.groupBy("b").agg(F.count("*").alias("k")), both.count())
-    hubs = hubs and own.settle(hubs, "hubs")
+    hubs = C.counted(C.heavy(both.groupBy("b").agg(F.count("*").alias("k")), both.count()))
     label = own.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     nodes, keep = label.count(), len(own.paths) - 1
     while True:
         near = C.salted_join(both, label.select(F.col("node").alias("b"), "comp"), ["b"], hubs, by="a").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         step = label.join(near, "node")
-        large = C.heavy(label.groupBy("comp").agg(F.count("*").alias("k")), nodes)
+        large = C.counted(C.heavy(label.groupBy("comp").agg(F.count("*").alias("k")), nodes))
         step = C.salted_join(step, label.select(F.col("node").alias("comp"), F.col("comp").alias("up")), ["comp"], large, by="node")
         step = own.settle(step.select("node", F.least("comp", "low", "up").alias("comp"), F.col("comp").alias("was")), "labels")
         C.drop_path(own.spark, own.paths.pop(keep))
@@ -393,17 +392,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
     base = C.settle(narrow.mapInArrow(_sketch(shingle), schema).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     reps = base.where("n > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.min_by("rid", "doc_id").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     reps = tmp.settle(reps.withColumn("row", F.coalesce("row", "node")), "classes")
-    copied = C.heavy(reps.select("f1", "f2", F.col("copies").alias("k")), base.count())
+    copied = C.counted(C.heavy(reps.select("f1", "f2", F.col("copies").alias("k")), base.count()))
 
     bands = reps.select("node", "sketch").mapInArrow(_bands, "bucket long, node long")
     lead = tmp.settle(bands.groupBy("bucket").agg(F.count("*").alias("cnt"), F.min("node").alias("lead")).where("cnt > 1"), "leads")
-    hot = C.heavy(lead.select("bucket", F.col("cnt").alias("k")), BANDS * reps.count())
+    hot = C.counted(C.heavy(lead.select("bucket", F.col("cnt").alias("k")), BANDS * reps.count()))
     multi = tmp.settle(C.salted_join(bands, lead, ["bucket"], hot, by="node"), "buckets")
     star = tmp.settle(multi.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     n_star = star.count()
     if not n_star:  # no bucket has two members
         classes = C.settle(reps.select("f1", "f2", F.col("low").alias("component"), F.col("row").alias("stay")), "classes")
-        copied = copied and C.settle(copied, "copied")
         tmp.drop()
         return base, classes, copied
     # the only texts and registers that are looked at again: those that share a bucket with another
@@ -411,8 +409,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
     texts, r = members.select("node", "text"), members.select("node", "n", "sketch")
     left = r.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
     right = r.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
-    hubs = C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), n_star)
-    hubs = hubs and tmp.settle(hubs, "hubs")
+    hubs = C.counted(C.heavy(star.groupBy("a").agg(F.count("*").alias("k")), n_star))
     pairs = C.salted_join(star, left, ["a"], hubs, by="b").join(right, "b").select("a", "na", "ra", "b", "nb", "rb").mapInArrow(_passing(level, ratio), "a long, b long")
     edges = tmp.settle(_linked(tmp.settle(pairs, "pairs"), hubs, texts, shingle, percent), "links")
     comp = components(edges, tmp)
@@ -424,11 +421,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, extra: list[str], shin
     named = reps.select("node", "f1", "f2", "low", "row").join(comp, "node", "left")
     smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("low").alias("first"), F.min_by("row", "low").alias("stay"), F.min("row").alias("any"), F.count("*").alias("k"))
     smallest = tmp.settle(smallest, "smallest")
-    classes = C.salted_join(named, smallest.drop("k"), ["comp"], C.heavy(smallest.select("comp", "k"), reps.count()), by="node", how="left").select(
+    classes = C.salted_join(named, smallest.drop("k"), ["comp"], C.counted(C.heavy(smallest.select("comp", "k"), reps.count())), by="node", how="left").select(
         "f1", "f2", F.when(F.col("comp").isNull(), F.col("low")).otherwise(F.col("first")).alias("component"),
         F.when(F.col("comp").isNull(), F.col("row")).otherwise(F.coalesce("stay", "any")).alias("stay"),
     )
-    classes, copied = C.settle(classes, "classes"), copied and C.settle(copied, "copied")
+    classes = C.settle(classes, "classes")
     tmp.drop()
     return base, classes, copied
 

@@ -211,6 +211,25 @@ def test_salted_keys_and_screened_cells(spark, monkeypatch):
     assert {x["doc_id"] for x in neardup.deduplicate(docs, shingle=1).collect()} == {c for _, _, c in brute.components(rows, 1)}
 
 
+def test_hot_keys_of_near_duplicates_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(C, "LEAST", 8)
+    plain, plans = C.salted_join, []
+
+    def noted(left, right, on, hot, by, how="inner"):
+        if hot is not None:
+            plans.append(hot._jdf.queryExecution().executedPlan().toString())
+        return plain(left, right, on, hot, by, how)
+
+    monkeypatch.setattr(C, "salted_join", noted)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words if i % 2 else [*words[:-1], f"x{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x)[:3] for x in neardup.near_duplicates(docs, shingle=1).collect())
+    assert got == sorted(brute.components(rows, 1))
+    assert plans and not any(x in p for p in plans for x in ("Aggregate", "FileScan"))  # no plan that counts again
+    assert C.counted(None) is None and C.counted(spark.range(5).where("id > 9")) is None
+
+
 def test_columns_of_any_type_pass_through(spark):
     docs = spark.sql("SELECT 1L AS doc_id, 'a b c' AS text, named_struct('a-b', 1, 'c d', array(map('k', 2))) AS `x y`, CAST(1 AS DECIMAL(9, 2)) AS `n`")
     assert [tuple(x) for x in neardup.deduplicate(docs).collect()] == [tuple(x) for x in docs.collect()]
