@@ -346,6 +346,8 @@ def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int
     top-level column with a least and a largest value; strides whose statistics exclude these are passed over, stripes
     without a stride that fits aren't read.  ``seek``: the first row wanted, counted over the table; negative ones and
     those past the end are errors.  ``positions``: a column ``pos`` with a row's number in the table.  Tasks get stripes of about ``spark.sql.files.maxPartitionBytes``.
+
+    Spark takes the rows for as few bytes as the manifest has, so a join by equal keys is told to sort, not to broadcast them.
     """
     spark = files.sparkSession
     root = schema_of(files)
@@ -373,7 +375,7 @@ def scan(files: DataFrame, *, ids: Sequence[int] | None = None, split: tuple[int
     most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     stripes = stripes.select("part", "seq", "path", "stripe", "first").repartitionByRange(max(1, -(-size // most)), "part", "seq", "stripe").sortWithinPartitions("part", "seq", "stripe")
     more = [T.StructField("pos", T.LongType())] * positions
-    return stripes.select("path", "stripe", "first").mapInArrow(_scan(ids, test, seek, positions), T.StructType([*schema.fields, *more]))
+    return stripes.select("path", "stripe", "first").mapInArrow(_scan(ids, test, seek, positions), T.StructType([*schema.fields, *more])).hint("merge")
 
 
 def raw_stripes(files: DataFrame) -> DataFrame:
